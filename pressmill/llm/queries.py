@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, sentencepiece_codec, token_files
+from . import decontamination, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
+        "op3_warc": warc.op3_warc,
+        "op5_simhash": simhash.op5_simhash,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_pii": pii.op7_pii,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_files": token_files.op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL}
+    return {
+        "op1_decontamination": decontamination.OP1_SQL,
+        "op3_warc": warc.OP3_SQL,
+        "op9_quality_rules": quality_rules.OP9_SQL,
+    }
