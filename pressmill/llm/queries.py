@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, toxicity, warc
+from . import decontamination, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_warc": warc.op3_warc,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_simhash": simhash.op5_simhash,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_pii": pii.op7_pii,
