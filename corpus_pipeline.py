@@ -1,11 +1,72 @@
-"""The corpus pipeline (stages follow as their operators do)."""
+"""The corpus pipeline: what a training corpus goes through, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+and read again before the next one. All but the last return the columns of
+documents. Rows are told apart by a row number, so repeated doc_ids are
+documents of their own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pressmill.llm import decontamination, pii, quality_classifier, sentencepiece_codec, simhash
+from pressmill.llm._shared import with_uid, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the weakly supervised classifier calls good."""
+    scored = quality_classifier.score(docs, quality_classifier.train(docs))
+    return scored.where(F.col("quality") >= quality_classifier.THRESHOLD).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group: the least doc_id."""
+    rows = with_uid(docs)
+    named = rows.select(F.struct("doc_id", "_uid").alias("doc_id"), "text")
+    found = simhash.near_duplicates(named)
+    first = found.where("doc_id._uid = component_id._uid").select("doc_id._uid")
+    return rows.join(first, "_uid", "left_semi").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of whose words a twentieth or more belongs to benchmark passages."""
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = found.where(decontamination.contaminated()).select("_uid")
+    return with_uid(docs).join(dirty, "_uid", "left_anti").select(docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and secrets by surrogates; n_chars follows the text."""
+    out = pii.replace(docs, pii.choose_key(docs)).select(docs.columns)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and the text that they decode to."""
+    model = sentencepiece_codec.read_model(spark, sentencepiece_codec.default_model())
+    out = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"), model, decoded="decoded")
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("PII", private),
+    ("SentencePiece encoding and decoding", encoded),
+]
+
+#: Training, keyed permutations and encoding have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, "stage")
     return docs
