@@ -7,13 +7,14 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Where feeds and news sitemaps are looked for on a publisher's site, in order.
 FEED_PATHS = ["/feed", "/feed/", "/rss", "/rss/", "/rss.xml", "/feed.xml", "/atom.xml", "/index.xml", "/?feed=rss2", "/feeds/posts/default"]
 SITEMAP_PATHS = ["/sitemap-news.xml", "/news-sitemap.xml", "/sitemap_news.xml", "/wp-sitemap-news.xml", "/sitemap.xml"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute(base: pd.Series, path: pd.Series) -> pd.Series:
     """path as seen from base; null where either is missing or the base is no absolute URL."""
 
