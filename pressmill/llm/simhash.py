@@ -213,7 +213,7 @@ def _links_in_buckets(rows: DataFrame, columns: list[str], distance: int) -> Dat
                     root[:] = root[root]
 
         while len(at := at[left[at] > shift]):
-            near = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= distance]
+            near = at[np.bitwise_count((fps[at] ^ fps[at + shift]).view(np.uint64)) <= distance]
             near = near[fps[near] != fps[near + shift]]
             if len(near):
                 us.append(near)
