@@ -41,7 +41,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def with_uid(df: DataFrame, name: str = "_uid") -> DataFrame:
-    """A row number that tells repeated rows apart (the same for a task that runs again)."""
+    """A row number that tells repeated rows apart and is the same each time it is computed.
+
+    Rows of files come in the same order always. Behind a shuffle they don't: such a frame is written first.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = written(df, "rows")
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
