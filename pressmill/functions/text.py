@@ -158,3 +158,7 @@ def verdict(answer: Column) -> Column:
     """A moderator's answer: approved, rejected, or null to skip."""
     first = F.lower(F.trim(answer))
     return F.when(first == "a", "approved").when(first == "r", "rejected")
+
+
+def shown(value: Column, missing: str = "—") -> Column:
+    return F.coalesce(value.cast("string"), F.lit(missing))

@@ -62,3 +62,23 @@ def alerts(checks: DataFrame, state: str = "state", message: str = "message") ->
     """At most one row: how many checks failed, and what they say. Checks are a fixed few."""
     failed = checks.where(F.col(state) == "FAIL")
     return failed.agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(message)), "; ").alias("messages")).where("n > 0")
+
+
+#: Figures of the service and what they must be, by name.
+RULES = {
+    "countries": lambda v: v >= 5,
+    "replicas": lambda v: v >= 1,
+    "certificate_days": lambda v: v >= 14,
+    "database_running": lambda v: v == 1,
+    "crashing": lambda v: v == 0,
+}
+
+
+def service_checks(figures: DataFrame) -> DataFrame:
+    """(name, state, message) of figures(name, value, skip): a figure that is missing fails."""
+    good = F.lit(False)
+    for name, rule in RULES.items():
+        good = F.when(F.col("name") == name, rule(F.col("value"))).otherwise(good)
+    state = checked(F.coalesce("skip", F.lit(False)), F.coalesce(good, F.lit(False)))
+    said = F.concat_ws(" ", "name", F.lit("is"), F.coalesce(F.col("value").cast("string"), F.lit("unknown")))
+    return figures.select("name", state.alias("state"), said.alias("message"))

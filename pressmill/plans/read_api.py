@@ -78,3 +78,18 @@ def poll_plan(feeds: DataFrame, publishers: DataFrame) -> DataFrame:
     """The feeds of active publishers, with what a poll needs."""
     p = publishers.where("feed_status = 'active'").select(F.col("id").alias("publisher_id"), "country_id", F.col("name").alias("publisher_name"))
     return feeds.join(p, "publisher_id").select("id", "publisher_id", "country_id", "publisher_name", "feed_url", "feed_type", "etag", "last_modified")
+
+
+def map_points(countries: DataFrame, selected: str | None) -> DataFrame:
+    """Points of a map: the selected country is larger and stands out."""
+    chosen = F.coalesce(F.col("iso_code") == F.lit(selected), F.lit(False))
+    return countries.where("lat IS NOT NULL AND lng IS NOT NULL").select("iso_code", "name", "lat", "lng", F.when(chosen, 0.8).otherwise(0.4).alias("radius"), chosen.alias("selected"))
+
+
+def choose_country(candidates: DataFrame, countries: DataFrame) -> DataFrame:
+    """candidates(client, saved, by_ip, by_locale) with country: the first that is known, else null."""
+    known = countries.select("iso_code")
+    out = candidates
+    for c in ("saved", "by_ip", "by_locale"):
+        out = out.join(F.broadcast(known.withColumnRenamed("iso_code", f"_{c}")), F.upper(c) == F.col(f"_{c}"), "left")  # a row for each country
+    return out.select(*candidates.columns, F.coalesce("_saved", "_by_ip", "_by_locale").alias("country"))

@@ -40,3 +40,16 @@ def register(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def next_number(rows: DataFrame) -> DataFrame:
     return rows.agg((F.count("*") + 1).alias("next_number"))
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of each snapshot under a path, the latest first; names begin with their time."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    names = [(x.getPath().getName(),) for x in found if x.isDirectory()]
+    return spark.createDataFrame(names, "name string").orderBy(F.desc("name"))
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return snapshots(spark, path).agg(F.max("name").alias("name"))
