@@ -8,8 +8,8 @@ document of a pattern is good. These posteriors are the soft labels from which
 a linear scorer on hashed features is trained; the scorer sees the whole text
 and decides, also where labellers disagree or say nothing.
 
-The scorer is fitted on about `SAMPLE` documents, chosen by a hash of their
-text; the votes are counted over all documents.
+The scorer is fitted on about `SAMPLE` documents, chosen by a hash of
+doc_id and text; the votes are counted over all documents.
 
 Null and empty texts get no vote and score as the scorer's bias says. Rows are
 never merged or dropped by ``score``; extra columns stay, and one named like a
@@ -208,7 +208,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
     posterior = dict(zip(patterns.tolist(), estimate(patterns, counts).tolist(), strict=True)) if counted else {}
     good = spark.sparkContext.broadcast(posterior)
     share = min(1.0, sample / max(counts.sum(), 1))
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(2 * sample)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("text").limit(2 * sample)
 
     def prepare(batches):
         for batch in batches:
