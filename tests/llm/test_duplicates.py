@@ -126,6 +126,20 @@ def test_passages(spark):
     assert got[7][0][0] == 30 and got[7][-1][1] == 230
 
 
+def test_edited_passages(spark):
+    rng = random.Random(11)
+    docs, edits = [], [0.05, 0.1, 0.15, 0.2]
+    for i in range(80):
+        passage = prose(rng, 60)
+        changed = [w for w in passage for w in ([w] if rng.random() > edits[i % 4] * 0.9 else rng.choice([[], ["new"], [w, "more"]]))]
+        docs += [(2 * i, prose(rng, rng.randrange(80)) + passage + prose(rng, 60)), (2 * i + 1, prose(rng, 60) + changed + prose(rng, rng.randrange(80)))]
+    got = spans(spark, docs)
+    found = [all(2 * i + s in got for s in (0, 1)) for i in range(80)]
+    by_rate = [sum(found[k::4]) for k in range(4)]
+    assert all(n >= least for n, least in zip(by_rate, [20, 20, 18, 10])), by_rate
+    assert all(p == [d ^ 1] for d, rows in got.items() for _, _, p in rows)
+
+
 def test_exact_windows_are_never_missed(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
     words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in r.text or "")) for r in docs.collect()}
