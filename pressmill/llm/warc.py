@@ -28,7 +28,7 @@ import re
 import uuid
 import zlib
 from datetime import UTC, datetime, timedelta
-from urllib.parse import parse_qsl, quote, urlencode, urlsplit
+from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
@@ -127,8 +127,6 @@ def capture(raw: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or digest(payload) != sha1):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
-    from urllib.parse import unquote
-
     page = lambda urn: unquote(urn[len("<urn:page:") : -1]) or None
     return {
         "urlkey": url_key(unquote(fields["WARC-Target-URI"])),
@@ -156,9 +154,9 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> Dat
         fs, root = pa.fs.FileSystem.from_uri(path)
         out, size, n, name = None, 0, 0, ""
         files, counts = [], []
-        for batch in batches:
-            for row in zip(*(c if c.type == pa.string() else c.to_pylist() for c in batch.columns), strict=True):
-                page_id, url, html, sha1, length, response = (x.as_py() if isinstance(x, pa.Scalar) else x for x in row)
+        parts = (batch.slice(lo, 500) for batch in batches for lo in range(0, batch.num_rows, 500))
+        for part in parts:
+            for page_id, url, html, sha1, length, response in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"  # each attempt has files of its own
                     out, size, n = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0

@@ -41,7 +41,7 @@ def near(fps, distance=3):
     return roots([(a, a) for a in fps] + [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance])
 
 
-def check(spark, fps, monkeypatch=None):
+def check(spark, fps):
     links = simhash.near_links(spark.createDataFrame([(f,) for f in sorted(set(fps))], "fp bigint"))
     got = roots([(a, a) for a in fps] + [(r.u, r.v) for r in links.collect()])
     assert got == near(sorted(set(fps)))
