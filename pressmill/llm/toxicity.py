@@ -159,17 +159,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     best = counts.where("n >= 3").select("slot", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "slot").limit(MOST_SLOTS).collect()
     used = np.sort(np.array([r.slot for r in best], np.int64))
 
-    def learn(batches):
-        got = []
+    def place(batches):
         for batch in batches:
-            for slots, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got.append((np.flatnonzero(np.isin(used, np.array(slots, np.int64))), label))
+            found = []
+            for slots in batch.column(0).to_pylist():
+                at = np.searchsorted(used, slots)
+                found.append(at[(at < len(used)) & (used[np.minimum(at, len(used) - 1)] == slots)] if len(used) else [])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["places", "toxic"])
+
+    def learn(batches):
+        got = [(np.array(at, np.int64), label) for batch in batches for at, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         got.sort(key=lambda r: (r[1], len(r[0]), r[0].tolist()))
         m = fit(used, got)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (m.bias, m.weights, m.factors.ravel())], ["bias", "weights", "factors"])
 
-    # the sample is bounded, so one task may hold it
-    one = rows.repartition(1).mapInArrow(learn, "bias double, weights array<double>, factors array<double>").collect()
+    # the sample is bounded, and only its places in the model's slots go to the one task that fits it
+    placed = rows.mapInArrow(place, "places array<int>, toxic int")
+    one = placed.repartition(1).mapInArrow(learn, "bias double, weights array<double>, factors array<double>").collect()
     if not one:
         return Machine(used, 0.0, np.zeros(0), np.zeros((0, FACTORS)))
     return Machine(used, one[0].bias, np.array(one[0].weights), np.array(one[0].factors).reshape(-1, FACTORS))
