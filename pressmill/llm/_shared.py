@@ -43,8 +43,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def with_uid(df: DataFrame, name: str = "_uid") -> DataFrame:
     """A row number that tells repeated rows apart and is the same each time it is computed.
 
-    Rows of files come in the same order always. Behind a shuffle they don't: such a frame is written first.
+    Rows of files come in the same order always, if files are cut at the same places: the cuts depend on the number
+    of cores that are there, so the session's is held once it was used. Behind a shuffle rows have no order: such a
+    frame is written first.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         df = written(df, "rows")
     return df.withColumn(name, F.monotonically_increasing_id())
