@@ -82,8 +82,18 @@ PATTERN = re.compile(
     + "))",
     re.VERBOSE,
 )
-_has = re.compile("[0-9@]")
-_triggers = {w + end for w in [*_list_of, *(t for group in TITLES.values() for t in group)] for end in ("", ".")} | {"token", "secret", "password", "passwd", "api_key", "api-key", "apikey"}
+#: Searched one by one, as each runs fast alone: a line in which PATTERN matches has a digit or @, or a listed name or title, or what
+#: begins a secret, or a run of hexadecimal letters, or a key word before = or :, or seven colons.
+_has = re.compile(r"[\d@]")
+_words = sorted({*_list_of, *(t for group in TITLES.values() for t in group)})
+_word = re.compile("|".join(f"{c}(?:{'|'.join(re.escape(w[1:]) for w in _words if w[0] == c)})" for c in sorted({w[0] for w in _words})))
+_named = re.compile(rf"(?<!\w)(?:(?:{_title})\.?|{_given})\ ")
+_begins = re.compile(r"AKIA|gh[pousr]_\w{20}|sk-[\w-]{20}|eyJ[\w-]{10}")
+_letters = re.compile("[A-Fa-f]{32}")
+_key_words = ("token", "secret", "password", "passwd", "apikey", "api_key", "api-key")
+_key = re.compile(r"""(?:token|secret|password|passwd|api[_-]?key)["']?\s*[=:]""")
+#: A key word and its value in different lines, the one match that goes on behind a line end.
+_across = re.compile(r"""(?:token|secret|password|passwd|api[_-]?key)["']?(?:\s*\n\s*[=:]|\s*[=:]\s*\n)""")
 
 
 class Keyed:
@@ -244,14 +254,29 @@ def _cased(new: str, old: str) -> str:
 
 
 def rewritten(text: str, each) -> str:
-    """text with every entity replaced by each(kind, front, entity, canonical)."""
-    named = not _triggers.isdisjoint(text.split())
-    if not named and not _has.search(text):
+    """text with every entity replaced by each(kind, front, entity, canonical): PATTERN.sub, without lines that can't match."""
+
+    def put(m):
+        return each(*_parts(m))
+
+    keys = any(w in text for w in _key_words)
+    if keys and _across.search(text):
+        return PATTERN.sub(put, text)
+    keys = keys and _key.search(text)
+    colons, letters, begins, names = text.count(":") >= 7, _letters.search(text), _begins.search(text), _word.search(text)
+    if not (keys or colons or letters or begins or names or _has.search(text)):
         return text
     lines = text.split("\n")
     for i, line in enumerate(lines):
-        if _has.search(line) or named and not _triggers.isdisjoint(line.split()):
-            lines[i] = PATTERN.sub(lambda m: each(*_parts(m)), line)
+        if (
+            _has.search(line)
+            or names and _word.search(line) and _named.search(line)
+            or keys and _key.search(line)
+            or begins and _begins.search(line)
+            or letters and _letters.search(line)
+            or colons and line.count(":") >= 7
+        ):
+            lines[i] = PATTERN.sub(put, line)
     return "\n".join(lines)
 
 
