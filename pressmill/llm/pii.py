@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -53,8 +54,32 @@ _list_of = {n: group for group, names in NAMES.items() for n in names}
 
 #: Characters that replace each other.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñçßšž", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщьъ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+# only secrets keep their case in the canonical form
+ALPHABETS += ["AEIOU", "BCDFGHJKLMNPQRSTVWXYZ"]
 _class_of = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 HEX = "0123456789abcdef"
+#: What shows the kind of a secret stays.
+_shown = re.compile("AKIA|gh[pousr]_|sk-|eyJ")
+
+
+@lru_cache(None)
+def _block(n: int) -> dict[str, tuple[str, int]]:
+    """Alphabets of the 256 characters from 256 n on that ALPHABETS lacks: those of a script (their names' first word) and category."""
+    groups: dict[tuple, str] = {}
+    for c in map(chr, range(n << 8, n + 1 << 8)):
+        if c.isalnum() and c not in _class_of:
+            turns = len(c.upper()) == 1 and c.upper().lower() == c  # letter case can be put back
+            key = (unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), c.lower() == c, turns)
+            groups[key] = groups.get(key, "") + c
+    alone: dict[tuple, str] = {}
+    for key in [k for k, g in groups.items() if len(g) == 1]:
+        alone[key[1:]] = alone.get(key[1:], "") + groups.pop(key)
+    return {c: (g, i) for g in (*groups.values(), *alone.values()) if len(g) > 1 for i, c in enumerate(g)}
+
+
+def place_of(c: str) -> tuple[str, int] | None:
+    """A character's alphabet and place in it; None if nothing can stand for it."""
+    return _class_of.get(c) or (_block(ord(c) >> 8).get(c) if c > "\x7f" else None)
 
 _title = "|".join(sorted((re.escape(t) for group in TITLES.values() for t in group), key=len, reverse=True))
 _given = "|".join(_list_of)
@@ -130,7 +155,7 @@ class Keyed:
 
     def characters(self, kind: str, text: str, alphabets=None) -> str:
         """text (lower case) with each character replaced within its alphabet; others stay."""
-        places = [(alphabets, alphabets.index(c)) if alphabets and c in alphabets else _class_of.get(c) for c in text]
+        places = [(alphabets, alphabets.index(c)) if alphabets and c in alphabets else place_of(c) for c in text]
         n, x = 1, 0
         for p in places:
             if p:
@@ -183,6 +208,9 @@ class Keyed:
                     return ".".join(map(str, x.to_bytes(4)))
         if kind == "ipv6" or kind == "secret" and re.fullmatch("[0-9a-f]+", canonical):
             return self.characters(kind, canonical, HEX)
+        if kind == "secret" and (shown := _shown.match(canonical)):
+            front = shown.group()
+            return front + self.characters(kind + front, canonical[len(front) :])
         if kind == "iban":
             return canonical[:2] + self.characters(kind + canonical[:2], canonical[2:])
         if kind == "email":
@@ -299,18 +327,28 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "kind string, canonical string").distinct()
 
 
+def unchanged(kind: str, canonical: str, surrogate: str) -> bool:
+    """Whether an entity keeps its value though a character of it can be replaced."""
+    if kind == "email":
+        canonical, surrogate = canonical.rpartition(".")[0], surrogate.rpartition(".")[0]
+    if kind == "secret" and (shown := _shown.match(canonical)):
+        canonical, surrogate = canonical[shown.end() :], surrogate[shown.end() :]
+    return canonical == surrogate and any(map(place_of, canonical))
+
+
 def collisions(found: DataFrame, key: str) -> DataFrame:
     """(kind, surrogate, n): surrogates that several entities would share, or that equal their entity."""
 
     def scan(batches):
         keyed = Keyed(key)
         for batch in batches:
-            new = [keyed.surrogate(k, c) for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], ["kind", "canonical", "surrogate"])
+            kinds, old = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new = [keyed.surrogate(k, c) for k, c in zip(kinds, old, strict=True)]
+            same = list(map(unchanged, kinds, old, new))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(same, pa.bool_())], ["kind", "surrogate", "same"])
 
-    pairs = found.select("kind", "canonical").mapInArrow(scan, "kind string, canonical string, surrogate string")
-    # an entity of no replaceable character, such as a name in a script without an alphabet here, stays and is no collision
-    same = F.max(F.when((F.col("surrogate") == F.col("canonical")) & F.col("canonical").rlike(r"\d{4}"), 1).otherwise(0))
+    pairs = found.select("kind", "canonical").mapInArrow(scan, "kind string, surrogate string, same boolean")
+    same = F.max(F.col("same").cast("int"))
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), same.alias("same")).where("n > 1 OR same = 1")
 
 
