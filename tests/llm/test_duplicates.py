@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -168,3 +169,31 @@ def test_chains():
     anchors = [(0, 100, 5), (7, 107, 6), (15, 114, 5), (16, 300, 5), (300, 110, 5)]
     best = substring_dedup.chains(anchors)
     assert best[0] == anchors[:3] and sorted(map(tuple, (c[0] for c in best[1:]))) == [(16, 300, 5), (300, 110, 5)]
+
+
+def test_partial_holders_do_not_stand_between(spark):
+    rng = random.Random(5)
+    p = prose(rng, 60)
+    around = lambda part: prose(rng, 30) + part + prose(rng, 30)
+    docs = [(1, around(p)), (2, around(p[:40])), (3, around(p[20:])), (4, around(p))]
+    docs += [(5 + i, around(p[i % 12 : i % 12 + 49])) for i in range(24)] + [(40, around(p[5:55])), (41, around(p))]
+    for order in (docs, docs[::-1]):
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in order], "doc_id bigint, text string").coalesce(1)
+        found = {r.doc_id: r for r in substring_dedup.repeated_passages(df).collect()}
+        assert {1, 4, 40, 41} <= found.keys()
+        assert all(found[i].start_word <= 30 and found[i].n_words >= 60 for i in (1, 4, 41)), found
+
+
+def test_windows():
+    rng = random.Random(6)
+    texts = [" ".join(prose(rng, n, 3)).encode() for n in (0, 49, 50, 51, 300, 120)]
+    key, least, doc, at = substring_dedup.windows_of(texts)
+    assert Counter(doc.tolist()) == {2: 1, 3: 2, 4: 251, 5: 71}
+    words = [t.decode().split() for t in texts]
+    held = [tuple(words[d][p : p + 50]) for d, p in zip(doc.tolist(), at.tolist())]
+    assert len(set(key.tolist())) == len(set(held)) == len(set(zip(key.tolist(), held)))
+    assert len(set(zip(key.tolist(), least.tolist()))) == len(set(key.tolist()))
+    key, doc = np.array([1, 1, 1, 1, 1, 2, 2, 2, 3]), np.array([1, 1, 2, 3, 3, 1, 2, 2, 9])
+    i, j, ends = substring_dedup.holders(key, doc)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 2), (1, 2), (2, 3), (4, 2), (5, 6), (7, 5)]
+    assert ends.tolist() == [True, True, False] + [True] * 6
