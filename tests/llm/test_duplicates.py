@@ -197,3 +197,17 @@ def test_windows():
     i, j, ends = substring_dedup.holders(key, doc)
     assert sorted(zip(i.tolist(), j.tolist())) == [(0, 2), (1, 2), (2, 3), (4, 2), (5, 6), (7, 5)]
     assert ends.tolist() == [True, True, False] + [True] * 6
+
+
+def test_exact_within_less_alike():
+    rng = random.Random(8)
+    for margin, size in ((40, 60), (100, 60), (100, 50), (70, 120)):
+        core = [rng.randrange(1 << 60) for _ in range(size)]
+        sides = [[rng.randrange(1 << 60) for _ in range(margin)] for _ in range(2)]
+        changed = [[w if i % 5 < 3 else rng.randrange(1 << 60) for i, w in enumerate(s)] for s in sides]
+        x, y = (np.array(s[0] + core + s[1], np.uint64) for s in (sides, changed))
+        for chain in ([(margin, margin, size)], [(margin + 3, margin + 3, 5), (margin + 20, margin + 20, size - 22)]):
+            got = substring_dedup.align(x, y, chain)
+            assert any(a <= margin and b >= margin + size and a == c and b == d and alike >= 0.8 for a, b, c, d, alike in got), (margin, size, got)
+    gap = substring_dedup._pairs(np.array([1, 2, 3, 4, 9, 5]), np.array([1, 7, 3, 8, 4, 5]))
+    assert gap == [(0, 0), (2, 2), (3, 4), (5, 5)]
