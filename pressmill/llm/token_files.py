@@ -89,7 +89,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]  # the library looks for them before it parts words
         self.tokenize = self.library.model.tokenize
         # the printable characters that stand for bytes, as the library maps them
         shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
@@ -125,6 +125,8 @@ class TextEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as uint32, without an end id."""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         if not plain(text):
             return b"".join(map(self.whole, units(text)))
         out = []

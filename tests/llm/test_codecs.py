@@ -101,3 +101,17 @@ def test_query_columns(spark, tables):
     r = tf.op10_token_files(spark, tables).agg(F.count("*").alias("n"), F.min("start").alias("s")).head()
     assert r.n == spark.read.parquet(f"{tables}/documents.parquet").count() and r.s == 0
     assert sp.op2_sentencepiece(spark, tables).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_added_tokens_as_the_library_has_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = tf.TextEncoder(f.read())
+    for text in ("<|endoftext|>", "one <|endoftext|> two", "a<|endoftext|>b\n\n  c", "<|endoftext|><|endoftext|> x", "no <|endof text|>", "plain words.  Two\tgaps"):
+        want = fresh.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), np.uint32).tolist() == want
+        assert (50256 in want) == ("<|endoftext|>" in text)
