@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
@@ -16,11 +16,13 @@ CHUNK_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can see; a local one only where the session names none."""
+    """The folder every executor can see. Only a local session may leave it unnamed, and has one of its own then."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + os.path.join(tempfile.gettempdir(), f"shared-{context.applicationId}")
     return named.rstrip("/")
 
 
@@ -40,25 +42,42 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_uid(df: DataFrame, name: str = "_uid") -> DataFrame:
-    """A row number that tells repeated rows apart and is the same each time it is computed.
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has (letter case aside)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Rows of files come in the same order always, if files are cut at the same places: the cuts depend on the number
-    of cores that are there, so the session's is held once it was used. Behind a shuffle rows have no order: such a
-    frame is written first.
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a row number that tells repeated rows apart, and the number's column.
+
+    The numbered rows are written, since only what is written has the same numbers each time it is read.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        df = written(df, "rows")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    name = fresh("_uid", df)
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces(df: DataFrame, most: int) -> int:
+    """Partitions for a shuffle of df: the session's number, or more where a partition would pass `most` bytes of its files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # frames that aren't of files have no size
+    return max(partitions(df.sparkSession), -(-size // most) if known else 1)
+
+
+#: Tasks that rows of one key are dealt to, where a key may be hot.
+SALTS = 64
+
+
+def salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each value; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

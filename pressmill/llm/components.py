@@ -2,7 +2,8 @@
 
 Every round is a few aggregations and joins whose rows are about as many as the
 links; its links are written to the shared folder, so lineage stays short and
-an executor can be lost. Nodes are longs; only counts reach the driver.
+an executor can be lost. Nodes are longs; only counts reach the driver. The links
+of a hub, which may be a third of all, are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -10,18 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import salt, written
+
+
+def _with_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links with m, the least v of their u, and a row of u and m for each u. A hub's links are dealt to many tasks."""
+    share = salt("v").alias("share")
+    least = links.groupBy("u", share).agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_set("share").alias("shares"))
+    return links.select("*", share).join(least.select("u", "m", F.explode("shares").alias("share")), ["u", "share"]), least
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both)[0].where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined, least = _with_least(links)
+    moved = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
