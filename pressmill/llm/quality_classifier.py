@@ -9,11 +9,14 @@ a linear scorer on hashed features is trained; the scorer sees the whole text
 and decides, also where labellers disagree or say nothing.
 
 The scorer is fitted on about `SAMPLE` documents, chosen by a hash of
-doc_id and text; the votes are counted over all documents.
+doc_id and text; the votes are counted over all documents. Only the chosen
+documents' features go to the task that fits it: 4,101 slots of a document at
+most, whatever the length of its text.
 
 Null and empty texts get no vote and score as the scorer's bias says. Rows are
-never merged or dropped by ``score``; extra columns stay, and one named like a
-new column is replaced. An empty table gives an empty table.
+never merged or dropped by ``score``; extra columns stay, and one named like the
+new column is replaced. A very long text is one document like any other. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 JUNK, GOOD, NOTHING = 0, 1, 2
 DIM = 1 << 14
 #: Documents that the scorer is fitted on, about, and at most twice that.
@@ -208,7 +210,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
     posterior = dict(zip(patterns.tolist(), estimate(patterns, counts).tolist(), strict=True)) if counted else {}
     good = spark.sparkContext.broadcast(posterior)
     share = min(1.0, sample / max(counts.sum(), 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("text").limit(2 * sample)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("text")
 
     def prepare(batches):
         for batch in batches:
@@ -217,7 +219,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
                 m = measures(t or "")
                 slots, values = features(t or "", m)
                 out.append({"slots": slots, "values": values, "good": good.value.get(pattern(m), 0.5)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("slots", pa.list_(pa.int64())), ("values", pa.list_(pa.float64())), ("good", pa.float64())]))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("slots", pa.list_(pa.int16())), ("values", pa.list_(pa.float32())), ("good", pa.float64())]))
 
     def fit(batches):
         rows = [(np.array(r["slots"], np.int64), np.array(r["values"]), r["good"]) for b in batches for r in b.to_pylist()]
@@ -225,15 +227,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
         scorer = fit_linear(rows)
         yield pa.RecordBatch.from_arrays([pa.array([scorer.weights]), pa.array([scorer.bias])], ["weights", "bias"])
 
-    # the sample is bounded, so one task may hold it
-    one = chosen.mapInArrow(prepare, "slots array<long>, values array<double>, good double").repartition(1).mapInArrow(fit, "weights array<double>, bias double").collect()
+    # features first, then the limit: the rows of the one task that fits are bounded, and so is each of them
+    rows = chosen.mapInArrow(prepare, "slots array<short>, values array<float>, good double").limit(2 * sample)
+    one = rows.repartition(1).mapInArrow(fit, "weights array<double>, bias double").collect()
     return Scorer(np.array(one[0].weights), one[0].bias) if one else fit_linear([])
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with quality (probability of good, double)."""
-    kept = [f for f in docs.schema.fields if f.name != "quality"]
-    schema = T.StructType([*kept, T.StructField("quality", T.DoubleType())])
+def score(docs: DataFrame, scorer: Scorer, name: str = "quality") -> DataFrame:
+    """docs with quality (probability of good, double), under a name of choice."""
+    kept = [f for f in docs.schema.fields if f.name != name]
+    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def scan(batches):

