@@ -9,21 +9,29 @@ surrogates; it is a single cycle, so no entity keeps its value. Spelling does
 not matter: letter case and separators are put back around the surrogate.
 
 Before texts are rewritten, the distinct entities of all documents are checked:
-if two of a type would share a surrogate or one would keep its value, the key
-is changed and the check repeated, so what is written is free of collisions.
+if two of a type would share a surrogate, or one would keep its value or get that
+of another entity of the documents (but for `SHARED` kinds, where chance gives
+that of a stranger at any key), the key is changed and the check repeated, so
+what is written is free of collisions.
+
+Who has the key can undo the permutations, so it is the caller's and stands in no
+file of this package: ``configured_key`` takes it from the session, or makes one
+for the application that is kept nowhere.
 
 Entities: e-mail addresses, phone and card numbers, IPv4 and IPv6 addresses,
 social security numbers, IBANs, secrets (tokens, keys, long hexadecimal
 strings), and names behind a title or with a listed given name.
 
 A null text stays null, an empty one empty. Rows are never merged or dropped;
-extra columns stay, and one named like a new column is replaced.
+extra columns stay, and one named like a new column is replaced. A very long text
+is rewritten whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
 from functools import lru_cache
 
@@ -34,9 +42,12 @@ from pyspark.sql import types as T
 
 from ._shared import written
 
-DEFAULT_KEY = "surrogates"
+#: Where a session names the key, or a file that holds it (of the driver).
+KEY_CONF, KEY_FILE_CONF = "spark.pressmill.pii.key", "spark.pressmill.pii.keyFile"
 #: Keys that are tried before giving up.
 KEYS = 8
+#: Entities of which another's surrogate may be the value by chance: there are too few of them, or many share one.
+SHARED = ("name", "ip", "ssn", "phone")
 
 #: Titles by gender, and given names by gender and script.
 TITLES = {
@@ -50,7 +61,13 @@ NAMES = {
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
     ("m", "cyrillic"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил".split(),
 }
+#: Frequent surnames by script, which stand for each other.
+NAMES |= {
+    ("s", "latin"): "Smith Johnson Brown Taylor Wilson Davies Evans Walker Wright Robinson Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Martin Bernard Dubois Durand Leroy Moreau Laurent Lefebvre Garcia Fernandez Gonzalez Rodriguez Lopez Martinez Sanchez Perez Gomez Ruiz Rossi Russo Ferrari Bianchi Romano Silva Santos Oliveira".split(),
+    ("s", "cyrillic"): "Иванов Смирнов Кузнецов Попов Васильев Петров Соколов Михайлов Новиков Фёдоров".split(),
+}
 _list_of = {n: group for group, names in NAMES.items() for n in names}
+_given_names = [n for (kind, _), names in NAMES.items() if kind != "s" for n in names]
 
 #: Characters that replace each other.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñçßšž", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщьъ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
@@ -82,7 +99,7 @@ def place_of(c: str) -> tuple[str, int] | None:
     return _class_of.get(c) or (_block(ord(c) >> 8).get(c) if c > "\x7f" else None)
 
 _title = "|".join(sorted((re.escape(t) for group in TITLES.values() for t in group), key=len, reverse=True))
-_given = "|".join(_list_of)
+_given = "|".join(_given_names)
 _cap = r"[^\W\d_a-zа-яß-öø-ÿ][\w'’-]*"
 PATTERN = re.compile(
     r"""(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
@@ -92,7 +109,7 @@ PATTERN = re.compile(
     |(?P<iban>\b[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){3,7}(?:\ ?[A-Z0-9]{1,3})?\b)
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-    |(?P<phone>(?<![\w+])\+\d{1,3}[\ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(?\d{3}\)?[\ .-]\d{3}[\ .-]\d{4}(?!\d))
+    |(?P<phone>(?<![\w+])\+\d{1,3}[\ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\ .-]?\d{2,4}){1,4}(?!\d)|(?:\(\d{3}\)\ ?|(?<!\w)\d{3}[\ .-])\d{3}[\ .-]\d{4}(?!\d))
     |(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?:[\ -]\d{4}){2,3}(?:[\ -]\d{1,3})?|\d{4}[\ -]\d{6}[\ -]\d{5})(?![\d-]))
     |(?P<name>(?<!\w)(?:(?:"""
     + _title
@@ -110,7 +127,7 @@ PATTERN = re.compile(
 #: Searched one by one, as each runs fast alone: a line in which PATTERN matches has a digit or @, or a listed name or title, or what
 #: begins a secret, or a run of hexadecimal letters, or a key word before = or :, or seven colons.
 _has = re.compile(r"[\d@]")
-_words = sorted({*_list_of, *(t for group in TITLES.values() for t in group)})
+_words = sorted({*_given_names, *(t for group in TITLES.values() for t in group)})
 _word = re.compile("|".join(f"{c}(?:{'|'.join(re.escape(w[1:]) for w in _words if w[0] == c)})" for c in sorted({w[0] for w in _words})))
 _named = re.compile(rf"(?<!\w)(?:(?:{_title})\.?|{_given})\ ")
 _begins = re.compile(r"AKIA|gh[pousr]_\w{20}|sk-[\w-]{20}|eyJ[\w-]{10}")
@@ -211,8 +228,10 @@ class Keyed:
         if kind == "secret" and (shown := _shown.match(canonical)):
             front = shown.group()
             return front + self.characters(kind + front, canonical[len(front) :])
-        if kind == "iban":
-            return canonical[:2] + self.characters(kind + canonical[:2], canonical[2:])
+        if kind == "iban":  # check digits as far from right as they were
+            land, check, body = canonical[:2], int(canonical[2:4]), canonical[4:]
+            new = self.characters(kind + land, body)
+            return f"{land}{(check - iban_check(land, body) + iban_check(land, new)) % 100:02d}{new}"
         if kind == "email":
             local, _, domain = canonical.rpartition("@")
             host, _, top = domain.rpartition(".")
@@ -239,6 +258,11 @@ def luhn(body: str) -> int:
     return -total % 10
 
 
+def iban_check(land: str, body: str) -> int:
+    """The check digits of an account number."""
+    return 98 - int("".join(str(int(c, 36)) for c in f"{body}{land}00")) % 97
+
+
 def _parts(match: re.Match) -> tuple[str, str, str, str]:
     """(kind, what stays in front, the entity as written, its canonical form)."""
     kind, text = match.lastgroup, match.group()
@@ -248,7 +272,7 @@ def _parts(match: re.Match) -> tuple[str, str, str, str]:
     if kind == "name":
         words = text.split(" ")
         front = words.pop(0) + " " if words[0].rstrip(".") not in _list_of else ""
-        return kind, front, " ".join(words), " ".join(w if w in _list_of else w.lower() for w in words)
+        return kind, front, " ".join(words), " ".join(w.title() if w.title() in _list_of else w.lower() for w in words)
     if kind == "phone":
         return kind, "", text, "+" * (text[0] == "+") + re.sub(r"\D", "", text)
     if kind == "ip":
@@ -337,7 +361,7 @@ def unchanged(kind: str, canonical: str, surrogate: str) -> bool:
 
 
 def collisions(found: DataFrame, key: str) -> DataFrame:
-    """(kind, surrogate, n): surrogates that several entities would share, or that equal their entity."""
+    """(kind, surrogate, n): surrogates that several entities would share, that equal their entity, or that are another's value."""
 
     def scan(batches):
         keyed = Keyed(key)
@@ -345,15 +369,36 @@ def collisions(found: DataFrame, key: str) -> DataFrame:
             kinds, old = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             new = [keyed.surrogate(k, c) for k, c in zip(kinds, old, strict=True)]
             same = list(map(unchanged, kinds, old, new))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(same, pa.bool_())], ["kind", "surrogate", "same"])
+            kept = [o == n for o, n in zip(old, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(same, pa.bool_()), pa.array(kept, pa.bool_())], ["kind", "surrogate", "same", "kept"])
+
+    pairs = found.select("kind", "canonical").mapInArrow(scan, "kind string, surrogate string, same boolean, kept boolean")
+    none = F.lit(None).cast("boolean")
+    own = found.where(~F.col("kind").isin(*SHARED)).select("kind", F.col("canonical").alias("surrogate"), none.alias("same"), none.alias("kept"))
+    both = pairs.unionAll(own).groupBy("kind", "surrogate").agg(F.count("same").alias("n"), F.count_if(F.col("same").isNull()).alias("others"), F.max(F.col("same").cast("int")).alias("same"), F.count_if("kept").alias("kept"))
+    # what has nothing to replace is its own surrogate, and no other's value
+    return both.where("n > 1 OR same = 1 OR n = 1 AND others > kept").select("kind", "surrogate", "n")
 
-    pairs = found.select("kind", "canonical").mapInArrow(scan, "kind string, surrogate string, same boolean")
-    same = F.max(F.col("same").cast("int"))
-    return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), same.alias("same")).where("n > 1 OR same = 1")
+
+def configured_key(spark) -> str:
+    """The session's key; where it names none, one of the application's own, which can't be had again."""
+    if key := spark.conf.get(KEY_CONF, None):
+        return key
+    if path := spark.conf.get(KEY_FILE_CONF, None):
+        with open(path, encoding="utf-8") as f:
+            return f.read().strip()
+    return _own_key(spark.sparkContext.applicationId)
+
+
+@lru_cache(None)
+def _own_key(application: str) -> str:
+    return secrets.token_hex(32)
 
 
-def choose_key(docs: DataFrame, key: str = DEFAULT_KEY) -> str:
+def choose_key(docs: DataFrame, key: str) -> str:
     """The first key derived from `key` under which the documents' entities don't collide."""
+    if not key:
+        raise ValueError("surrogates need a key")
     found = written(entities(docs), "entities")
     for attempt in range(KEYS):
         tried = f"{key}/{attempt}"
@@ -362,9 +407,9 @@ def choose_key(docs: DataFrame, key: str = DEFAULT_KEY) -> str:
     raise ValueError(f"entities collide under {KEYS} keys")
 
 
-def replace(docs: DataFrame, key: str) -> DataFrame:
-    """docs with surrogates in text, n_entities (long), and entities (kinds in order)."""
-    new = {"n_entities": T.LongType(), "entities": T.ArrayType(T.StringType())}
+def replace(docs: DataFrame, key: str, count: str = "n_entities", listed: str = "entities") -> DataFrame:
+    """docs with surrogates in text, how many (long), and of which kinds (in order), under names of choice."""
+    new = {count: T.LongType(), listed: T.ArrayType(T.StringType())}
     kept = [f for f in docs.schema.fields if f.name not in new]
     schema = T.StructType([*kept, *(T.StructField(k, t) for k, t in new.items())])
 
@@ -390,4 +435,4 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
 def op7_pii(spark, sf_dir) -> DataFrame:
     """doc_id, text with surrogates, n_entities and their kinds, of whole documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace(docs, choose_key(docs)).select("doc_id", "text", "n_entities", "entities")
+    return replace(docs, choose_key(docs, configured_key(spark))).select("doc_id", "text", "n_entities", "entities")
