@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again before the next one. All but the last return the columns of
 documents. Rows are told apart by a row number, so repeated doc_ids are
 documents of their own.
+
+Null and empty texts go through every stage as the stage's operator says (no
+vote, fingerprint zero, no words, no entities, an end id only); null doc_ids
+come first where the least of a group is asked for. Columns of the input keep
+their names and values, whatever they are called: stages name their own columns
+anew. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,34 +18,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm import decontamination, pii, quality_classifier, sentencepiece_codec, simhash
-from pressmill.llm._shared import with_uid, written
+from pressmill.llm._shared import fresh, numbered, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the weakly supervised classifier calls good."""
-    scored = quality_classifier.score(docs, quality_classifier.train(docs))
-    return scored.where(F.col("quality") >= quality_classifier.THRESHOLD).select(docs.columns)
+    name = fresh("quality", docs)
+    scored = quality_classifier.score(docs, quality_classifier.train(docs), name)
+    return scored.where(F.col(name) >= quality_classifier.THRESHOLD).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the least doc_id."""
-    rows = with_uid(docs)
-    named = rows.select(F.struct("doc_id", "_uid").alias("doc_id"), "text")
+    rows, uid = numbered(docs)
+    named = rows.select(F.struct("doc_id", F.col(uid).alias("row")).alias("doc_id"), "text")
     found = simhash.near_duplicates(named)
-    first = found.where("doc_id._uid = component_id._uid").select("doc_id._uid")
-    return rows.join(first, "_uid", "left_semi").select(docs.columns)
+    first = found.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias(uid))
+    return rows.join(first, uid, "left_semi").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words a twentieth or more belongs to benchmark passages."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.where(decontamination.contaminated()).select("_uid")
-    return with_uid(docs).join(dirty, "_uid", "left_anti").select(docs.columns)
+    rows, uid = numbered(docs)
+    found = decontamination.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), uid=uid)
+    dirty = found.where(decontamination.contaminated()).select(F.col("_uid").alias(uid))
+    return rows.join(dirty, uid, "left_anti").select(docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets by surrogates; n_chars follows the text."""
-    out = pii.replace(docs, pii.choose_key(docs)).select(docs.columns)
+    out = pii.replace(docs, pii.choose_key(docs, pii.configured_key(spark)), fresh("n_entities", docs), fresh("entities", docs)).select(docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM, chunks, shingle_hashes, text_bytes, with_uid, word_hashes, word_spans, written
+from ._shared import ALNUM, chunks, shingle_hashes, text_bytes, word_hashes, word_spans, written
 
 WINDOW = 13
 SHINGLE = 5
@@ -129,12 +129,17 @@ def _stretches(docs: DataFrame, bits, sizes: dict[int, int], window: int) -> Dat
                 n_words = pa.array(np.diff(first).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("_uid"), part.column("doc_id"), n_words, pa.array(found, kind)], ["_uid", "doc_id", "n_words", "stretches"])
 
-    return with_uid(docs.select("doc_id", "text")).mapInArrow(scan, schema)
+    return docs.mapInArrow(scan, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, item_ids (sorted array), hits (spans)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, uid: str | None = None) -> DataFrame:
+    """Per row of docs: _uid, doc_id, n_words, n_hit, item_ids (sorted array), hits (spans).
+
+    uid: the column of docs that numbers its rows; else rows are numbered here, where they are read once.
+    """
     spark = docs.sparkSession
+    number = F.col(uid) if uid else F.monotonically_increasing_id()
+    docs = docs.select("doc_id", "text", number.alias("_uid"))
     windows = written(benchmark_windows(benchmark, window), "windows")
     k_of = F.least(F.col("size"), F.lit(shingle))
     # size of shingle: shortest window with that size (at most `shingle` entries)

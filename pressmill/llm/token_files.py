@@ -9,20 +9,22 @@ and gather the bytes with numpy.
 A token file holds one range of the documents in doc_id order, in blocks that
 can be read alone:
 
-    8 bytes   "RANKVLC2"
-    5 x int64 documents, ids, distinct ids, control bytes, data bytes of the block
+    8 bytes   "RANKVLC3"
+    6 x int64 documents, ids, distinct ids, bytes of names, control bytes, data bytes of the block
     int64     ids of each document
+    bytes     names: the documents' doc_ids, an Arrow IPC stream
     uint32    id of each rank
     bytes     controls, then data; the next block follows
 
 Documents are dealt into ranges of doc_id, each sorted and written by one task
 in blocks of bounded size; the manifest names the files of tasks that succeeded
-and the ids that precede each file, so a task that runs again does no harm.
+with their numbers of documents and ids, so a task that runs again does no harm.
 Texts are encoded once, and only a block's ids are held.
 
 A null text is empty and has the end id only. Null doc_ids come first; documents
-with equal doc_ids all stay, ordered by a hash of their text. An empty table
-gives no files. Columns other than doc_id and text are ignored.
+with equal doc_ids all stay, ordered by a hash of their text, and may lie in several
+files. A very long text is one document of one block. An empty table gives no
+files. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +39,15 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import new_path, partitions, written
+from ._shared import new_path, partitions, pieces, written
 
-MAGIC = b"RANKVLC2"
+MAGIC = b"RANKVLC3"
 END_ID = 0
 #: Ids in a block, at least (a document isn't cut). Its rank table adds about a fiftieth.
 BLOCK_IDS = 1 << 21
-#: Texts' pieces that a task remembers.
+#: Bytes of the table's files for each token file, where the session's number of partitions is too small.
+FILE_BYTES = 256 << 20
+#: Texts' pieces that a task remembers, of at most 48 characters each (some hundred MB in all).
 REMEMBERED = 700_000
 
 _runs = re.compile(r"(\s+)")
@@ -169,34 +173,41 @@ def unpack(controls: bytes, data: bytes, n: int) -> np.ndarray:
     return raw.view("<u4").reshape(-1).astype(np.uint32)
 
 
-def _write_block(out, lengths: list[int], packed: list[bytes]) -> None:
+def _names(doc_ids: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids)], ["doc_id"])
+
+
+def _write_block(out, doc_ids: list, lengths: list[int], packed: list[bytes]) -> None:
     ids = np.frombuffer(b"".join(packed), np.uint32)
     counts = np.bincount(ids)
     order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]  # equal counts: the smaller id first
     rank = np.zeros(len(counts), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     controls, data = pack(rank[ids])
-    out.write(MAGIC + np.array([len(lengths), len(ids), len(order), len(controls), len(data)], "<i8").tobytes())
-    out.write(np.array(lengths, "<i8").tobytes() + order.astype("<u4").tobytes() + controls + data)
+    names, sink = _names(doc_ids), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, names.schema) as stream:
+        stream.write_batch(names)
+    names = sink.getvalue().to_pybytes()
+    out.write(MAGIC + np.array([len(lengths), len(ids), len(order), len(names), len(controls), len(data)], "<i8").tobytes())
+    out.write(np.array(lengths, "<i8").tobytes() + names + order.astype("<u4").tobytes() + controls + data)
 
 
 def read_blocks(stream):
-    """(lengths, ids) of each block of a token file."""
-    while head := stream.read(48):
-        if head[:8] != MAGIC or len(head) != 48:
+    """(doc_ids, lengths, ids) of each block of a token file."""
+    while head := stream.read(56):
+        if head[:8] != MAGIC or len(head) != 56:
             raise ValueError("not a token file")
-        docs, n, distinct, c, d = np.frombuffer(head[8:], "<i8").tolist()
+        docs, n, distinct, names, c, d = np.frombuffer(head[8:], "<i8").tolist()
         lengths = np.frombuffer(stream.read(8 * docs), "<i8")
+        doc_ids = pa.ipc.open_stream(stream.read(names)).read_next_batch().column(0)
         id_of = np.frombuffer(stream.read(4 * distinct), "<u4")
-        yield lengths, id_of[unpack(stream.read(c), stream.read(d), n)]
+        yield doc_ids, lengths, id_of[unpack(stream.read(c), stream.read(d), n)]
 
 
 def write_tokens(docs: DataFrame, spec, path: str) -> DataFrame:
-    """Writes the token files and returns their manifest: part, file, doc_ids in order, n_ids."""
-    spark = docs.sparkSession
+    """Writes the token files and returns their manifest: part, file, n_docs, n_ids."""
     fs, root = pa.fs.FileSystem.from_uri(path)
     fs.create_dir(root, recursive=True)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches):
         from pyspark import TaskContext
@@ -205,62 +216,56 @@ def write_tokens(docs: DataFrame, spec, path: str) -> DataFrame:
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"  # each attempt has a file of its own
         fs, root = pa.fs.FileSystem.from_uri(path)
-        ids, total, out, lengths, packed, waiting = [], 0, None, [], [], 0
+        docs, total, out = 0, 0, None
+        names, lengths, packed, waiting = [], [], [], 0
         end = np.uint32(END_ID).tobytes()
         for batch in batches:
             out = out or fs.open_output_stream(f"{root}/{name}")
-            ids.append(batch.column(0))
-            for text in batch.column(1):
+            for k, text in enumerate(batch.column(1)):
                 x = own.encode(text.as_py() or "")
                 packed += [x, end]
+                names.append(batch.column(0).slice(k, 1))
                 lengths.append(len(x) // 4 + 1)
                 waiting += lengths[-1]
                 if waiting >= BLOCK_IDS:
-                    _write_block(out, lengths, packed)
-                    total += waiting
-                    lengths, packed, waiting = [], [], 0
+                    _write_block(out, names, lengths, packed)
+                    docs, total = docs + len(lengths), total + waiting
+                    names, lengths, packed, waiting = [], [], [], 0
         if lengths:
-            _write_block(out, lengths, packed)
+            _write_block(out, names, lengths, packed)
         if out:
             out.close()
-            ids = pa.concat_arrays(ids)
-            values = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), values, pa.array([total + waiting])], ["part", "file", "doc_ids", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([docs + len(lengths)]), pa.array([total + waiting])], ["part", "file", "n_docs", "n_ids"])
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return written(dealt.mapInArrow(write, f"part long, file string, doc_ids array<{id_type}>, n_ids long"), "manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = docs.select("doc_id", "text").repartitionByRange(pieces(docs, FILE_BYTES), *order).sortWithinPartitions(*order)
+    return written(dealt.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "manifest")
 
 
-def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
+def read_tokens(manifest: DataFrame, path: str, id_type: str = "long") -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids (as little-endian uint32)."""
     spark = manifest.sparkSession
     # a row for each file: files are as many as the tasks that wrote them
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    id_type = manifest.schema["doc_ids"].dataType.elementType.simpleString()
+    files = manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def read(batches):
         fs, root = pa.fs.FileSystem.from_uri(path)
         for batch in batches:
-            for file, doc_ids, start in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                done = 0
+            for file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_stream(f"{root}/{file}") as f:
-                    for lengths, ids in read_blocks(f):
+                    for doc_ids, lengths, ids in read_blocks(f):
                         ends = np.cumsum(lengths)
                         starts = ends - lengths
                         raw = ids.astype("<u4").tobytes()
                         for lo in range(0, len(lengths), 500):
                             part = slice(lo, lo + 500)
                             values = [raw[4 * a : 4 * b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
-                            yield pa.RecordBatch.from_arrays(
-                                [doc_ids.values.slice(done + lo, len(values)), pa.array(start + starts[part]), pa.array(lengths[part]), pa.array(values)], ["doc_id", "start", "n_tokens", "ids"]
-                            )
-                        done += len(lengths)
+                            yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, len(values)), pa.array(start + starts[part]), pa.array(lengths[part]), pa.array(values)], ["doc_id", "start", "n_tokens", "ids"])
                         start += int(ends[-1])
 
-    files = manifest.join(first, "part").select("file", "doc_ids", "first").repartition(partitions(spark), "file")
-    return files.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids binary")
+    dealt = files.select("file", "first").repartition(partitions(spark), "file")
+    return dealt.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids binary")
 
 
 def default_tokenizer(spark):
@@ -275,4 +280,4 @@ def op10_token_files(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = new_path(spark, "tokens")
     manifest = write_tokens(docs, default_tokenizer(spark), path)
-    return read_tokens(manifest, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(manifest, path, docs.schema["doc_id"].dataType.simpleString()).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -2,7 +2,9 @@
 
 Writing: pages with equal payloads are found by digest; of these the one with
 the largest page_id is stored as a response record, the others as revisit
-records that name it and carry no payload. Every task writes archives of its
+records that name it and carry no payload. Of equal payloads within a batch only
+those of the largest page_id are sent on, and the pages of a digest are dealt to
+many tasks, so a payload that a third of all pages share is no burden. Every task writes archives of its
 own (a gzip member for each record) and the manifest names those of tasks that
 succeeded.
 
@@ -17,7 +19,8 @@ partition are sorted, and come before those of the next.
 page_id n. A null html is an empty payload. A null or odd url is kept as far as
 a header can hold it. Rows that repeat both payload and the largest page_id are
 responses all; null page_ids are the smallest. An empty table gives no archives
-and no captures. Columns other than page_id, url and html are ignored.
+and no captures. Columns other than page_id, url and html are ignored, whatever
+they are called. A large payload is one record.
 """
 
 from __future__ import annotations
@@ -31,12 +34,14 @@ from datetime import UTC, datetime, timedelta
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import new_path, partitions, written
+from ._shared import new_path, partitions, salt, written
 
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
 #: Payloads of fewer bytes are never revisits.
@@ -143,8 +148,23 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> Dat
     """Writes the archives under path; (file, records) of each."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("size"))
-    shared = rows.where(F.col("size") >= least).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = rows.join(shared.withColumn("shared", F.lit(True)), "sha1", "left")
+    # a share of a digest's pages for each salt, at most; only ids and digests are counted
+    share = salt("page_id", "url").alias("share")
+    counted = rows.where(F.col("size") >= least).groupBy("sha1", share).agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
+    shared = counted.groupBy("sha1").agg(F.max("response").alias("response"), F.sum("n").alias("n"), F.collect_set("share").alias("shares")).where("n > 1")
+    shared = shared.select("sha1", "response", F.explode("shares").alias("share"), F.lit(True).alias("shared"))
+
+    def lightened(batches):
+        for batch in batches:
+            ids, digests, sizes = (batch.column(c).to_pylist() for c in ("page_id", "sha1", "size"))
+            largest: dict[str, object] = {}
+            for i, h in zip(ids, digests, strict=True):
+                if h not in largest or i is not None and (largest[h] is None or i > largest[h]):
+                    largest[h] = i
+            keep = pa.array([n < least or i == largest[h] for i, h, n in zip(ids, digests, sizes, strict=True)])
+            yield batch.set_column(2, "payload", pc.if_else(keep, batch.column("payload"), pa.scalar(None, batch.column("payload").type)))
+
+    found = rows.mapInArrow(lightened, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])).select("*", share).join(shared, ["sha1", "share"], "left")
     revisit = F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     found = found.select(F.col("page_id").cast("string"), "url", F.when(~revisit, F.col("payload")).alias("payload"), "sha1", "size", F.col("response").cast("string").alias("response"))
     fs, root = pa.fs.FileSystem.from_uri(path)

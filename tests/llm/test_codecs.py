@@ -115,3 +115,21 @@ def test_added_tokens_as_the_library_has_them():
         want = fresh.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(text), np.uint32).tolist() == want
         assert (50256 in want) == ("<|endoftext|>" in text)
+
+
+def test_files_hold_the_doc_ids(spark, odd, long_text, monkeypatch):
+    monkeypatch.setattr(tf, "BLOCK_IDS", 100)
+    docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(7, long_text)], "doc_id bigint, text string"))
+    path = new_path(spark, "tokens")
+    manifest = tf.write_tokens(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), tf.default_tokenizer(spark), path)
+    assert manifest.columns == ["part", "file", "n_docs", "n_ids"] and manifest.agg(F.sum("n_docs")).head()[0] == 10
+    rows = tf.read_tokens(manifest, path, "string").orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, "d1", "d2", "d2", "d3", "d4", "d4", "d5", "d6", "d7"]
+    encoder = tf.TextEncoder(tf.default_tokenizer(spark).value)
+    assert rows[-1].ids[:-4] == encoder.whole(long_text)
+
+
+def test_long_text_in_pieces(spark, long_text, model):
+    df = spark.createDataFrame([(1, long_text)], "doc_id bigint, text string")
+    (r,) = sp.encode(df, sp.read_model(spark, sp.default_model()), decoded="back").collect()
+    assert r.ids == [*model.library.encode(long_text), 2] and r.back == long_text

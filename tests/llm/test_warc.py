@@ -76,3 +76,11 @@ def test_order_with_several_passes(spark, tables):
     with fs.open_input_file(f"{root}/{r.file}") as f:  # the index leads to the record
         f.seek(r.offset)
         assert warc.capture(gzip.decompress(f.read(r.length)))["page_id"] == r.page_id
+
+
+def test_a_payload_that_most_pages_share(spark):
+    rows = [(i, f"http://a.org/{i}", "x" * 100_000 if i == 77 else "hot" if i % 3 else f"own {i}") for i in range(600)]
+    got = {int(r.page_id): r for r in history(spark, rows).collect()}
+    last = max(i for i, _, html in rows if html == "hot")
+    assert len(got) == 600 and got[77].payload_bytes == 100_000
+    assert all((r.record_type, r.refers_to) == (("response", None) if i == last or rows[i][2] != "hot" else ("revisit", str(last))) for i, r in got.items())
