@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What browsers' scripts call white space.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The same without the space.
+ODD_SPACE = SPACE.replace("r ", "r")
 
 #: The categories in order of priority, with the parts of words that tell them.
 KEYWORDS = {
@@ -42,8 +47,9 @@ def filled(*columns: Column) -> Column:
 
 def normal_headline(headline: Column) -> Column:
     """Trimmed, lower-cased, each run of white space one space (null: empty)."""
-    trimmed = F.regexp_replace(F.coalesce(headline, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
-    return F.regexp_replace(F.lower(trimmed), f"{SPACE}+", " ")
+    # single spaces stay as they are; a run begins at one place only, so its length tells how long it takes
+    one = F.regexp_replace(F.coalesce(headline, F.lit("")), f" *{ODD_SPACE}{SPACE}*|  {SPACE}*", " ")
+    return F.trim(F.lower(one))
 
 
 def dedup_hash(publisher: Column, headline: Column) -> Column:
@@ -61,14 +67,23 @@ def category_texts(categories: Column) -> Column:
     return F.transform(categories, lambda c: F.coalesce(c["_VALUE"], F.lit("")))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), the value computed once however often it is used: as the argument of a function over an array of one."""
+    return F.transform(F.array(value), use)[0]
+
+
 def categorize(texts: Column, headline: Column, keywords: dict[str, list[str]] | None = None) -> Column:
     """The first category with a keyword anywhere in the texts or the headline."""
     joined = F.array_join(F.concat(F.coalesce(texts, F.array().cast("array<string>")), F.array(F.coalesce(headline, F.lit("")))), " ")
-    text, out = F.lower(joined), None
-    for category, words in (keywords or KEYWORDS).items():
-        has = text.rlike("|".join(words))
-        out = F.when(has, category) if out is None else out.when(has, category)
-    return out.otherwise(OTHER)
+
+    def first(text: Column) -> Column:
+        out = None
+        for category, words in (keywords or KEYWORDS).items():
+            has = reduce(or_, map(text.contains, words))
+            out = F.when(has, category) if out is None else out.when(has, category)
+        return out.otherwise(OTHER)
+
+    return _once(F.lower(joined), first)
 
 
 def summary(snippet: Column, text: Column, most: int = 1000) -> Column:
@@ -140,9 +155,12 @@ def page_limit(text: Column, usual: int = 30, most: int = 100) -> Column:
 
 def risk(change: Column) -> Column:
     """HIGH, MEDIUM or LOW: low patterns outrule high ones, and medium ones all but a high that stands."""
-    text = F.lower(change)
-    high, low, medium = (text.rlike("|".join(p)) for p in (HIGH_RISK, LOW_RISK, MEDIUM_RISK))
-    return F.when(high & ~low, "HIGH").when(low & ~medium, "LOW").otherwise("MEDIUM")
+
+    def told(text: Column) -> Column:
+        high, low, medium = (text.rlike("|".join(p)) for p in (HIGH_RISK, LOW_RISK, MEDIUM_RISK))
+        return F.when(high & ~low, "HIGH").when(low & ~medium, "LOW").otherwise("MEDIUM")
+
+    return _once(F.lower(change), told)
 
 
 def occurrences(text: Column, literal: str) -> Column:

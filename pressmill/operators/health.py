@@ -42,6 +42,11 @@ def latest_job(rows: DataFrame, owner: str) -> DataFrame:
     return own.agg(F.max_by(F.struct("name", "created", "succeeded"), F.struct("created", "name")).alias("j")).select("j.*")
 
 
+def jobs_named(rows: DataFrame, prefix: str) -> DataFrame:
+    """Jobs by the beginning of their name, whoever owns them: those started by hand, too."""
+    return rows.where(F.startswith(F.col("name").cast("string"), F.lit(prefix)))
+
+
 def job_state(created: Column, succeeded: Column, now: Column) -> Column:
     """ok, running or failed; missing where there is no job."""
     age = minutes_old(created, now)

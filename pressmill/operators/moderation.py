@@ -11,6 +11,12 @@ from ..functions.urls import is_url
 REQUIRED = ["name", "homepage_url", "feed_url", "country_iso", "language"]
 
 
+def requests(documents: DataFrame, body: str = "body") -> DataFrame:
+    """documents with the fields of their JSON bodies; one without a body, or that is no object, has none of them."""
+    fields = F.from_json(F.coalesce(F.col(body), F.lit("{}")), ", ".join(f"{c} string" for c in [*REQUIRED, "contact_email"]))
+    return documents.select("*", *[fields[c].alias(c) for c in [*REQUIRED, "contact_email"]])
+
+
 def validated(bodies: DataFrame, countries: DataFrame) -> DataFrame:
     """bodies with country_id and error: null, or why the submission is refused."""
     missing = F.array_join(F.filter(F.array(*[F.when(filled(F.col(c)).isNull(), F.lit(c)) for c in REQUIRED]), lambda x: x.isNotNull()), ", ")

@@ -40,14 +40,18 @@ def shared_domains(publishers: DataFrame, domain: str, name: str, iso: str) -> D
 def similar_names(publishers: DataFrame, group: str, name: str, order: list[str]) -> DataFrame:
     """(group, name_a, name_b): pairs of a group whose keys differ and one of which holds the other.
 
-    Keys of a group are looked up among the parts of the longer keys, an equi-join that grows with
-    the names' length, not with the square of a group. A key without letters or digits is part of all.
+    Keys of a group are looked up among the parts of the longer keys that are as long as some key of the
+    group, an equi-join that grows with the names' length, not with the square of a group. A key without letters or digits is part of all.
     """
     key = name_key(F.col(name))
     rows = publishers.select(F.col(group).alias("group"), F.col(name).alias("name"), key.alias("key"), F.struct(*order).alias("at"))
+    # parts of the lengths that a group's keys have: as many lengths as the longest name at most
+    sizes = rows.groupBy("group").agg(F.collect_set(F.length("key")).alias("sizes"))
     size = F.length("key")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("key"), i, n))))
-    parts = F.when(size > 0, F.array_append(F.array_distinct(F.filter(spans, lambda s: s != F.col("key"))), F.lit("")))
+    own = F.filter("sizes", lambda n: (n > 0) & (n < size))
+    spans = F.flatten(F.transform(own, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("key"), i, n))))
+    parts = F.when(size > 0, F.array_append(F.array_distinct(spans), F.lit("")))
+    rows = rows.join(sizes, "group")
     longer = rows.select("group", F.col("name").alias("long"), F.col("at").alias("long_at"), F.explode(parts).alias("key"))
     shorter = rows.select("group", F.col("name").alias("short"), F.col("at").alias("short_at"), "key")
     found = longer.join(shorter, ["group", "key"])
@@ -57,3 +61,9 @@ def similar_names(publishers: DataFrame, group: str, name: str, order: list[str]
 
 def ordinals(rows: DataFrame, group: str, order: list[str], name: str = "ordinal") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def disagreeing(rows: DataFrame, key: str, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
+    """Rows whose column differs from that of the parent they name: row, what it has, and what the parent has."""
+    p = parent.select(F.col(parent_key).alias(key), F.col(column).alias("expected"))
+    return rows.join(p, key).where(~F.col(column).eqNullSafe(F.col("expected")))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The first row of each key. As an aggregate: it combines before the shuffle, so a hot key is no burden."""
@@ -26,14 +28,26 @@ def insert_ignore(existing: DataFrame, batch: DataFrame, keys: Sequence[str], or
     return first_per_key(batch, keys, order).join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
+def _folded(batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence) -> DataFrame:
+    """One row for each key, what its rows come to one after another: `update` of the last, other columns of the first."""
+    values = [c for c in batch.columns if c not in keys]
+    if not values:
+        return batch.dropDuplicates(list(keys))
+    ordered = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"_{i}") for i, o in enumerate(order)], F.struct(*values).alias("row"))
+    ends = batch.groupBy(*keys).agg(F.min(ordered).alias("_first"), F.max(ordered).alias("_last"))
+    return ends.select(*keys, *[F.col(f"{'_last' if c in update else '_first'}.row.{c}").alias(c) for c in values]).select(batch.columns)
+
+
+def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence = ()) -> DataFrame:
     """existing with the batch's rows: known keys get the columns in `update`, new keys all columns.
 
-    A column of the batch that is null overwrites; columns of existing that the batch lacks stay, or are null.
+    A key that the batch holds several times counts as upserts one after another, in `order` (else by their values):
+    the first inserts, the last updates. A column of the batch that is null overwrites; columns of existing that the
+    batch lacks stay, or are null.
     """
     have = set(batch.columns)
     left = existing.withColumn("_old", F.lit(True)).alias("e")
-    right = batch.withColumn("_new", F.lit(True)).alias("b")
+    right = _folded(batch, keys, update, order).withColumn("_new", F.lit(True)).alias("b")
     joined = left.join(right, list(keys), "full")
     columns = []
     for c in existing.columns:
@@ -50,15 +64,21 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], update: S
 def with_ids(rows: DataFrame, existing: DataFrame, order: Sequence, name: str = "id") -> DataFrame:
     """rows with ids behind the largest that exists, in order.
 
-    Partitions are ranges of the order and are counted first, so no task sees all rows.
+    Rows are dealt by ranges of the order, numbered within them and written with that; then ranges are counted and
+    numbers moved by what precedes them. Both look at the same written rows: ranges that are dealt twice may be cut
+    at different places. No task sees all rows.
     """
-    # a global window would bring all rows to one task: number within ranges and add what precedes them
-    ranged = rows.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    place = F.monotonically_increasing_id()  # the range, and the row within it
+    kept = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", place), "numbered")
+    part = F.shiftright("_place", 33)
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
     top = existing.agg(F.coalesce(F.max(name), F.lit(0)).alias("_top"))
-    return numbered.join(before, "_part").join(F.broadcast(top)).withColumn(name, F.col("_top") + F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before", "_top")
+    moved = sizes.select("_part", before.alias("_before")).join(F.broadcast(top))
+    numbered = kept.withColumn("_part", part).join(F.broadcast(moved), "_part")  # ranges are as many as partitions
+    within = F.col("_place") - F.shiftleft("_part", 33)
+    return numbered.withColumn(name, F.col("_top") + F.col("_before") + within + 1).drop("_part", "_place", "_before", "_top")
 
 
 def merge_poll_status(feeds: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:

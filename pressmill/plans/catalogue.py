@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..operators import health, moderation, quality, upsert
+from ..operators import health, moderation, quality, upsert, verification
 from ..sources.tables import next_number, read
 from . import ingest, read_api
 
@@ -163,10 +163,10 @@ def insert_ignore_counts(s, d):
     return insert_ignore_batch(s, d).agg(F.count("*").alias("inserted"))
 
 
-@_query("SELECT doc_id + 0 AS doc_id, row_number() OVER (ORDER BY doc_id) + (SELECT max(doc_id) FROM documents WHERE doc_id % 2 = 0) AS id FROM documents WHERE doc_id % 2 = 1")
+@_query("SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + (SELECT max(c_custkey) FROM customer) AS id FROM orders")
 def assign_ids(s, d):
-    docs = read(s, d, "documents").select("doc_id")
-    return upsert.with_ids(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "id"), ["doc_id"])
+    rows = read(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    return upsert.with_ids(rows, read(s, d, "customer").select(F.col("c_custkey").alias("id")), ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 # -- articles from items -----------------------------------------------------
@@ -253,13 +253,19 @@ def build_article_rows(s, d):
 # -- order, addresses, names -------------------------------------------------
 
 
-@_query("SELECT row_number() OVER (ORDER BY p DESC NULLS LAST, id) AS place_desc, row_number() OVER (ORDER BY p ASC NULLS LAST, id) AS place_asc, id FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate END AS p FROM orders WHERE o_custkey = 7)")
+@_query("SELECT row_number() OVER (ORDER BY p DESC NULLS LAST, id) AS place_desc, row_number() OVER (ORDER BY p ASC NULLS LAST, id) AS place_asc, id FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate END AS p FROM orders)")
 def null_order_both(s, d):
-    from pyspark.sql import Window
+    """All orders, numbered within ranges of either order."""
+    rows = read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderdate")).alias("p"))
+    none = s.createDataFrame([], "place_desc bigint, place_asc bigint")
+    down = upsert.with_ids(rows, none, [F.desc_nulls_last("p"), "id"], "place_desc")
+    return upsert.with_ids(down, none, [F.asc_nulls_last("p"), "id"], "place_asc").drop("p")
 
-    rows = read(s, d, "orders").where("o_custkey = 7").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderdate")).alias("p"))
-    rank = lambda o: F.row_number().over(Window.orderBy(o, "id")).cast("bigint")  # noqa: E731  one customer's orders
-    return rows.select(rank(F.desc_nulls_last("p")).alias("place_desc"), rank(F.asc_nulls_last("p")).alias("place_asc"), "id")
+
+@_query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS ordinal FROM orders")
+def article_ordinals(s, d):
+    rows = quality.ordinals(read(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", ["o_orderdate", "o_orderkey"])
+    return rows.select("o_orderkey", F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
 _SITE_PATH = "regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', '')"
@@ -518,11 +524,12 @@ _GIVEN = ["", "0", "abc", "12abc", "99999", " 7", "-5"]
 @_query(
     "SELECT doc_id, CAST(least(coalesce(nullif(TRY_CAST(regexp_extract(g, '^\\s*([+-]?\\d+)', 1) AS INTEGER), 0), 30), 100) AS INTEGER) AS page_limit FROM (SELECT doc_id, CASE WHEN doc_id % 8 < 7 THEN ["
     + ", ".join(f"'{g}'" for g in _GIVEN)
-    + "][doc_id % 8 + 1] END AS g FROM documents)"
+    + "][doc_id % 8 + 1] || ' ' || coalesce(text, '') ELSE text END AS g FROM documents)"
 )
 def parse_limit(s, d):
     given = F.try_element_at(F.array(*map(F.lit, _GIVEN)), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
-    return read(s, d, "documents").select("doc_id", text.page_limit(given).alias("page_limit"))
+    asked = F.coalesce(F.concat(given, F.lit(" "), F.coalesce("text", F.lit(""))), "text")
+    return read(s, d, "documents").select("doc_id", text.page_limit(asked).alias("page_limit"))
 
 
 _CHANGES = ["", "schema change", "typo in readme", "new api endpoint", "schema typo", "secret query", "css of the globe", "auth label of a route"]
@@ -532,20 +539,27 @@ _MATCH = lambda p: "regexp_matches(t, '" + "|".join(p) + "')"
 @_query(
     f"SELECT doc_id, CASE WHEN {_MATCH(text.HIGH_RISK)} AND NOT {_MATCH(text.LOW_RISK)} THEN 'HIGH' WHEN {_MATCH(text.LOW_RISK)} AND NOT {_MATCH(text.MEDIUM_RISK)} THEN 'LOW' ELSE 'MEDIUM' END AS risk FROM (SELECT doc_id, lower(["
     + ", ".join(f"'{c}'" for c in _CHANGES)
-    + "][doc_id % 8 + 1] || ' ' || substr(coalesce(text, ''), 1, 0)) AS t FROM documents)"
+    + "][doc_id % 8 + 1] || ' ' || coalesce(text, '')) AS t FROM documents)"
 )
 def risk_classify(s, d):
+    """Whole texts behind phrases that tell the kinds of a change."""
     change = F.element_at(F.array(*map(F.lit, _CHANGES)), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
-    return read(s, d, "documents").select("doc_id", text.risk(F.concat(change, F.lit(" "))).alias("risk"))
+    return read(s, d, "documents").select("doc_id", text.risk(F.concat(change, F.lit(" "), F.coalesce("text", F.lit("")))).alias("risk"))
 
 
-@_query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 AND c_custkey % 40 < 25 THEN c_custkey % 40 END, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END) AS country_id FROM customer")
+@_query(
+    """SELECT c_custkey, coalesce(a.n_name, b.n_name, c.n_name) AS country FROM customer
+LEFT JOIN nation a ON c_custkey % 3 = 0 AND a.n_nationkey = c_custkey % 40 LEFT JOIN nation b ON c_custkey % 2 = 0 AND b.n_nationkey = customer.c_nationkey
+LEFT JOIN nation c ON c_custkey % 5 = 0 AND c.n_nationkey = c_custkey % 30"""
+)
 def country_fallback(s, d):
-    saved, ip = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 40), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("bigint"))
-    known = F.broadcast(read(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k")))  # countries are a few hundred
-    rows = read(s, d, "customer").select("c_custkey", saved.alias("saved"), ip.alias("ip"))
-    rows = rows.join(known.withColumnRenamed("k", "k1"), F.col("saved") == F.col("k1"), "left").join(known.withColumnRenamed("k", "k2"), F.col("ip") == F.col("k2"), "left")
-    return rows.select("c_custkey", F.coalesce("k1", "k2").alias("country_id"))
+    """What a reader chose before, where the address is, or what the locale says: the first that is a country."""
+    named = lambda n: F.concat(F.lit("nation_"), n)
+    k = F.col("c_custkey")
+    asked = read(s, d, "customer").select(
+        "c_custkey", F.when(k % 3 == 0, named(k % 40)).alias("saved"), F.when(k % 2 == 0, named(F.col("c_nationkey"))).alias("by_ip"), F.when(k % 5 == 0, named(k % 30)).alias("by_locale")
+    )
+    return read_api.choose_country(asked, _countries(s, d)).select("c_custkey", "country")
 
 
 @_query("SELECT o_custkey AS publisher_id, count(*) AS n FROM orders GROUP BY o_custkey")
@@ -570,30 +584,152 @@ def literal_occurrences(s, d):
     return read(s, d, "pages").select("page_id", (n * 3).alias("chars"), n.alias("n"))
 
 
-@_query()
+_TITLE = "trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'))"
+
+
+@_query(
+    f"""WITH i AS (SELECT page_id, url, {_TITLE} AS title FROM pages WHERE page_id % 4 <> 3),
+p AS (SELECT *, CAST(page_id % 9 AS VARCHAR) AS source, title AS text, lower(title) AS h FROM i WHERE title <> '')
+SELECT page_id AS feed_id, title AS headline, url AS original_url, {_WHEN} AS category, {_HASH} AS dedup_hash FROM p"""
+)
 def feed_documents(s, d):
-    """Pages as items of RSS documents, parsed back and made article rows."""
-    p = read(s, d, "pages")
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    body = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), F.regexp_replace("url", "[<>]", ""), F.lit("</link></item></channel></rss>"))
+    """Pages as items of RSS, Atom and news sitemaps, and of documents that are cut off; parsed back and made article rows."""
     from ..sources.feeds import feed_items
 
-    docs = p.select(F.col("page_id").alias("id"), (F.col("page_id") % 9).alias("publisher_id"), F.lit(1).alias("country_id"), F.lit("rss").alias("feed_type"), body.alias("body"))
+    p = read(s, d, "pages")
+    title, kind = F.regexp_extract("html", "<title>(.*?)</title>", 1), F.col("page_id") % 4
+    link = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    rss = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), "url", F.lit("</link></item></channel></rss>"))  # with bare ampersands
+    atom = F.concat(F.lit("<feed><entry><title>"), title, F.lit('</title><link href="'), link, F.lit('"/></entry></feed>'))
+    news = F.concat(F.lit("<urlset><url><loc>"), link, F.lit("</loc><news:news><news:title>"), title, F.lit("</news:title></news:news></url></urlset>"))
+    body = F.when(kind == 0, rss).when(kind == 1, atom).when(kind == 2, news).otherwise(F.replace(rss, F.lit("</channel></rss>"), F.lit("")))
+    docs = p.select(F.col("page_id").alias("id"), (F.col("page_id") % 9).alias("publisher_id"), F.lit(1).alias("country_id"), F.when(kind == 2, "sitemap-news").otherwise("rss").alias("feed_type"), body.alias("body"))
     rows = ingest.article_rows(ingest.items_of(feed_items(docs)), F.lit("2024-01-01").cast("timestamp"))
     return rows.select("feed_id", "headline", "original_url", "category", "dedup_hash")
 
 
-@_query()
-def verification_chain(s, d):
-    """Submitted feeds of which some work directly, some are announced, found, or not found at all."""
-    from ..operators.verification import candidates, verified
-
+def _submitted(s, d):
+    """Submitted feeds and their homepages, some of which announce a feed."""
     p = read(s, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("https://site"), "page_id", F.lit(".example.com/")).alias("homepage_url"))
     subs = p.withColumn("feed_url", F.concat("homepage_url", F.lit("given")))
-    kind = F.col("id") % 4
     link = F.lit('<head><link rel="alternate" type="application/rss+xml" href="/announced"></head>')
-    pages = subs.select(F.col("homepage_url").alias("url"), F.when(kind == 1, link).otherwise("<head></head>").alias("body"))
-    place = F.element_at(F.array(*map(F.lit, ["given", "announced", "rss.xml", "none"])), (kind + 1).cast("int"))
+    return subs, subs.select(F.col("homepage_url").alias("url"), F.when(F.col("id") % 4 == 1, link).otherwise("<head></head>").alias("body"))
+
+
+_PLACES = ", ".join(f"({stage}, {i}, '{path}', '{kind}')" for stage, kind, paths in ((2, "rss", urls.FEED_PATHS), (3, "sitemap-news", urls.SITEMAP_PATHS)) for i, path in enumerate(paths))
+
+
+@_query(
+    f"""SELECT page_id AS id, stage, place, 'https://site' || page_id || '.example.com' || path AS url, kind
+FROM pages, (VALUES (0, 0, '/given', 'rss'), (1, 0, '/announced', 'rss'), {_PLACES}) v(stage, place, path, kind) WHERE stage <> 1 OR page_id % 4 = 1"""
+)
+def feed_candidates(s, d):
+    return verification.candidates(*_submitted(s, d))
+
+
+@_query(
+    """SELECT page_id AS id, k < 3 AS verified, CASE WHEN k < 3 THEN 'rss' END AS feed_type,
+  CASE WHEN k < 3 THEN 'https://site' || page_id || '.example.com/' || ['given', 'announced', 'rss.xml'][k + 1] END AS resolved_url,
+  ['Feed has 1 items', 'Feed has 1 items (announced by the homepage)', 'Feed has 1 items (found on the site)',
+   'Feed could not be fetched; neither the homepage''s announcements nor the usual places had a feed'][k + 1] AS detail
+FROM (SELECT page_id, page_id % 4 AS k FROM pages)"""
+)
+def verification_chain(s, d):
+    """Submitted feeds of which some work directly, some are announced, found, or not found at all."""
+    subs, pages = _submitted(s, d)
+    place = F.element_at(F.array(*map(F.lit, ["given", "announced", "rss.xml", "none"])), (F.col("id") % 4 + 1).cast("int"))
     feed = F.lit("<rss><channel><item><title>News</title><link>https://example.com/1</link></item></channel></rss>")
     documents = subs.select(F.concat("homepage_url", place).alias("url"), feed.alias("body"), F.lit(None).cast("string").alias("error"))
-    return verified(candidates(subs, pages), documents)
+    return verification.verified(verification.candidates(subs, pages), documents)
+
+
+# -- requests, listings, and what disagrees ----------------------------------
+
+
+@_query(
+    """WITH b AS (SELECT c_custkey AS id, c_custkey % 50 <> 0 AS given, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE '' END AS name, CASE WHEN c_custkey % 11 = 0 THEN 'nowhere' ELSE 'https://a.org/' || c_custkey END AS home,
+  c_custkey % 13 <> 0 AS fed, CASE WHEN c_custkey % 17 = 0 THEN 'zz' ELSE 'nation_' || c_nationkey END AS iso, c_nationkey FROM customer),
+m AS (SELECT *, CASE WHEN NOT given THEN 'name, homepage_url, feed_url, country_iso, language' ELSE concat_ws(', ', CASE WHEN name = '' THEN 'name' END, CASE WHEN NOT fed THEN 'feed_url' END) END AS missing FROM b)
+SELECT id, CASE WHEN given AND iso <> 'zz' THEN c_nationkey END AS country_id,
+  CASE WHEN missing <> '' THEN 'missing: ' || missing WHEN home = 'nowhere' THEN 'not a URL' WHEN iso = 'zz' THEN 'unknown country' END AS error FROM m"""
+)
+def submission_requests(s, d):
+    """Bodies of requests: some are missing, some lack a field or name what isn't there."""
+    k = F.col("c_custkey")
+    body = F.to_json(
+        F.struct(
+            F.when(k % 7 != 0, F.col("c_name")).otherwise("").alias("name"), F.when(k % 11 == 0, "nowhere").otherwise(F.concat(F.lit("https://a.org/"), k)).alias("homepage_url"), F.when(k % 13 != 0, "https://a.org/feed").alias("feed_url"),
+            F.when(k % 17 == 0, "zz").otherwise(F.concat(F.lit("nation_"), "c_nationkey")).alias("country_iso"), F.lit("en").alias("language"),
+        )
+    )
+    bodies = read(s, d, "customer").select(k.alias("id"), F.when(k % 50 != 0, body).alias("body"))
+    return moderation.validated(moderation.requests(bodies), _countries(s, d)).select("id", "country_id", "error")
+
+
+_LINES = ["a", "r", "r", "a note", "s", " R ", ""]
+
+
+@_query(
+    "WITH RECURSIVE l AS (SELECT n_nationkey AS n, ["
+    + ", ".join(f"'{x}'" for x in _LINES)
+    + """][n_nationkey % 7 + 1] AS t FROM nation),
+f AS (SELECT n, t, false AS is_note FROM l WHERE n = 0 UNION ALL SELECT l.n, l.t, NOT f.is_note AND lower(trim(f.t)) = 'r' FROM f JOIN l ON l.n = f.n + 1),
+a AS (SELECT *, lead(t) OVER (ORDER BY n) AS following FROM f),
+d AS (SELECT *, row_number() OVER (ORDER BY n) AS place FROM a WHERE NOT is_note)
+SELECT CAST(place - 1 AS INTEGER) AS id, CASE lower(trim(t)) WHEN 'a' THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN lower(trim(t)) = 'r' THEN nullif(following, '') END AS note FROM d WHERE lower(trim(t)) IN ('a', 'r')"""
+)
+def moderator_decisions(s, d):
+    """One moderator's lines, dealt to a queue."""
+    n = read(s, d, "nation").select(F.col("n_nationkey").alias("id"))
+    line = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("id") % 7 + 1).cast("int"))
+    return moderation.decisions(n.select("id", (F.col("id") + 1).alias("place")), n.select(F.col("id").alias("line_no"), line.alias("text")))
+
+
+def _job_documents(s, d):
+    """A JSON listing of one job for each event."""
+    e = read(s, d, "events")
+    owners = F.when(F.col("event_type") != "click", F.array(F.struct(F.concat(F.lit("worker"), (F.col("user_id") % 3)).alias("name"))))
+    meta = F.struct(F.concat_ws("-", "event_type", "event_id").alias("name"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creationTimestamp"), owners.alias("ownerReferences"))
+    job = F.struct(meta.alias("metadata"), F.struct(F.when(F.col("event_type") == "purchase", 1).alias("succeeded")).alias("status"))
+    return e.select(F.to_json(F.struct(F.array(job).alias("items"))).alias("body"))
+
+
+@_query(
+    "SELECT event_type || '-' || event_id AS name, epoch_us(ts) // 1000000 AS created, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS succeeded, CASE WHEN event_type <> 'click' THEN 'worker' || user_id % 3 ELSE '' END AS owners FROM events"
+)
+def job_listing(s, d):
+    return health.jobs(_job_documents(s, d)).select("name", F.unix_seconds("created").alias("created"), "succeeded", F.array_join("owners", ",").alias("owners"))
+
+
+@_query("SELECT event_type || '-' || event_id AS name FROM events WHERE event_type = 'purchase'")
+def jobs_by_prefix(s, d):
+    return health.jobs_named(health.jobs(_job_documents(s, d)), "purchase-").select("name")
+
+
+@_query("SELECT user_id AS pod, event_id AS container, CASE WHEN event_type = 'error' THEN 'CrashLoopBackOff' END AS reason FROM events WHERE event_type <> 'view'")
+def container_listing(s, d):
+    """A JSON listing of one pod for each event; some pods have no container."""
+    reason = F.struct(F.struct(F.when(F.col("event_type") == "error", health.CRASH).alias("reason")).alias("waiting"))
+    states = F.when(F.col("event_type") != "view", F.array(F.struct(F.col("event_id").cast("string").alias("name"), reason.alias("state"))))
+    pod = F.struct(F.struct(F.col("user_id").cast("string").alias("name")).alias("metadata"), F.struct(states.alias("containerStatuses")).alias("status"))
+    docs = read(s, d, "events").select(F.to_json(F.struct(F.array(pod).alias("items"))).alias("body"))
+    return health.containers(docs).select(F.col("pod").cast("bigint").alias("pod"), F.col("container").cast("bigint").alias("container"), "reason")
+
+
+@_query("SELECT o_orderkey, (c_nationkey + 1) % 25 AS country_id, c_nationkey AS expected FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0")
+def dq_country(s, d):
+    """Articles whose country is not their publisher's."""
+    moved = F.when(F.col("id") % 10 == 0, (F.col("country_id") + 1) % 25).otherwise(F.col("country_id"))
+    return quality.disagreeing(_articles(s, d).withColumn("country_id", moved), "publisher_id", "country_id", _publishers(s, d)).select(F.col("id").alias("o_orderkey"), "country_id", "expected")
+
+
+@_query(f"SELECT page_id, o IS NULL OR o IN ('thther.example.org', 'm.ththth.example.net') AS allowed FROM (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN {_HOST} END AS o FROM pages)")
+def request_origins(s, d):
+    origin = F.when(F.col("page_id") % 5 != 0, text.host(F.col("url")))
+    return read(s, d, "pages").select("page_id", read_api.allowed_origin(origin, ["thther.example.org", "m.ththth.example.net"]).alias("allowed"))
+
+
+@_query(f"SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN 'kept' END, {_HOST}) AS domain FROM pages")
+def domain_backfill(s, d):
+    rows = read(s, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, "kept").alias("domain"))
+    return upsert.backfill(rows, "domain", text.host(F.col("url"))).drop("url")

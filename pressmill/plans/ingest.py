@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators.upsert import insert_ignore
+from ..operators.upsert import insert_ignore, with_ids
 
 ROW = ["feed_id", "publisher_id", "country_id", "headline", "summary", "image_url", "original_url", "author", "category", "published_at", "dedup_hash"]
 
@@ -42,8 +42,9 @@ def items_of(parsed: DataFrame) -> DataFrame:
 
 
 def new_articles(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows to append: the first of each key that isn't stored."""
-    return insert_ignore(stored, rows, ["dedup_hash"], ["feed_id", "position"]).select(ROW)
+    """The rows to append: the first of each key that isn't stored, with ids behind those that are there."""
+    fresh = insert_ignore(stored, rows, ["dedup_hash"], ["feed_id", "position"])
+    return with_ids(fresh, stored, ["feed_id", "position", "dedup_hash"]).select("id", *ROW)
 
 
 def outcomes(fetched: DataFrame) -> DataFrame:

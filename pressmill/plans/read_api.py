@@ -86,6 +86,11 @@ def map_points(countries: DataFrame, selected: str | None) -> DataFrame:
     return countries.where("lat IS NOT NULL AND lng IS NOT NULL").select("iso_code", "name", "lat", "lng", F.when(chosen, 0.8).otherwise(0.4).alias("radius"), chosen.alias("selected"))
 
 
+def allowed_origin(origin, allowed: list[str]):
+    """Whether a request may come from there: from nowhere, or from a listed place."""
+    return origin.isNull() | F.array_contains(F.array(*map(F.lit, allowed)), origin)
+
+
 def choose_country(candidates: DataFrame, countries: DataFrame) -> DataFrame:
     """candidates(client, saved, by_ip, by_locale) with country: the first that is known, else null."""
     known = countries.select("iso_code")

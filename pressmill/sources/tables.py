@@ -38,6 +38,34 @@ def register(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def enter(rows: DataFrame, path: str) -> None:
+    """Appends rows to a register of JSON lines."""
+    rows.write.mode("append").json(path)
+
+
+def note(lines: DataFrame, path: str) -> None:
+    """Appends lines of text, such as rows of a Markdown table: lines has one string column."""
+    lines.write.mode("append").text(path)
+
+
+def as_list(value, of: str):
+    """A JSON value as an array: one that is no array is its only element, none is empty."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    listed = F.when(F.startswith(text, F.lit("[")), text).when(text == "", F.lit("[]")).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    return F.from_json(listed, f"array<{of}>")
+
+
+def emptied(spark: SparkSession, path: str, schema) -> None:
+    """A table without rows: what is numbered begins at one again."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of the SQL files in a folder, in order of their names."""
+    files = spark.read.option("pathGlobFilter", "*.sql").text(path, wholetext=True)
+    return files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text")).orderBy("name")
+
+
 def next_number(rows: DataFrame) -> DataFrame:
     return rows.agg((F.count("*") + 1).alias("next_number"))
 

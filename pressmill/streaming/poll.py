@@ -3,6 +3,9 @@
 State is the articles table itself: a hash that is stored is never inserted
 again, however late it comes, so no watermark may expire it. A micro-batch that
 is run again finds its own rows stored and adds nothing.
+
+Ids go on behind the largest stored one. What a poll did to each feed is appended
+to a log, by micro-batch; ``feeds_now`` merges the latest of it into the feeds.
 """
 
 from __future__ import annotations
@@ -12,28 +15,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..plans.ingest import article_rows, items_of, new_articles
+from ..operators.upsert import merge_poll_status
+from ..plans.ingest import article_rows, items_of, new_articles, outcomes
 from ..sources.feeds import feed_items
 
-DOCUMENTS = "id int, publisher_id int, country_id int, feed_type string, body string"
+DOCUMENTS = "id int, publisher_id int, country_id int, feed_type string, body string, status int, etag string, last_modified string, error string"
+LOG = "id int, status string, etag string, last_modified string, batch bigint"
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
+def _stored(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    schema = schema or schemas.articles()
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], schemas.articles())
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
 
+def poll(spark: SparkSession, landing: str, table: str, checkpoint: str, since: Column, every: str | None = None, log: str | None = None) -> StreamingQuery:
+    """Starts a query over JSON documents under landing. every: a processing-time trigger, else what is there is run once.
 
-def poll(spark: SparkSession, landing: str, table: str, checkpoint: str, since: Column, every: str | None = None) -> StreamingQuery:
-    """Starts a query over JSON documents under landing. every: a processing-time trigger, else what is there is run once."""
+    log: where outcomes of the feeds are appended.
+    """
     landed = spark.readStream.schema(DOCUMENTS).json(landing)
+    columns = schemas.articles().names
 
     def batch(documents: DataFrame, number: int) -> None:
-        rows = article_rows(items_of(feed_items(documents)), since)
-        fresh = new_articles(_stored(documents.sparkSession, table), rows)
-        fresh.withColumn("fetched_at", F.current_timestamp()).write.mode("append").parquet(table)
+        parsed = feed_items(documents)
+        stored = _stored(documents.sparkSession, table)
+        fresh = new_articles(stored, article_rows(items_of(parsed), since))
+        fresh.withColumn("fetched_at", F.current_timestamp()).select(columns).write.mode("append").parquet(table)
+        if log:  # a batch that runs again writes its folder again
+            outcomes(parsed).withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     writer = landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def feeds_now(feeds: DataFrame, log: DataFrame, now: Column) -> DataFrame:
+    """feeds after all logged polls: validators of the latest poll that went well, the status of the latest of all."""
+    good = F.struct("batch", "etag", "last_modified")
+    latest = log.groupBy("id").agg(F.max_by("status", F.struct("batch", "status")).alias("status"), F.max(F.when(F.col("status") == "ok", good)).alias("good"))
+    done = merge_poll_status(feeds, latest.select("id", "status", F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified")), now)
+    kept = feeds.select("id", F.col("etag").alias("_e"), F.col("last_modified").alias("_m")).join(latest.select("id", "good"), "id", "left")
+    known = F.col("good").isNotNull()
+    kept = kept.select("id", F.when(known, F.col("good.etag")).otherwise(F.col("_e")).alias("etag"), F.when(known, F.col("good.last_modified")).otherwise(F.col("_m")).alias("last_modified"))
+    return done.drop("etag", "last_modified").join(kept, "id").select(feeds.columns)

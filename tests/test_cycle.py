@@ -24,6 +24,7 @@ def test_poll_once(spark, tmp_path):
     done = poll_once(spark, feeds, publishers, spark.createDataFrame([], schemas.articles()), str(tmp_path / "landed"), now, 3)
     got = sorted((r.publisher_id, r.headline, r.feed_id) for r in done.articles.collect())
     assert got == [(1, "One & two", 1), (2, "T", 3), (2, "V", 3)]
+    assert sorted(r.id for r in done.articles.collect()) == [1, 2, 3]
     status = {r.id: r.last_status for r in done.feeds.collect()}
     assert [status[i] for i in (1, 2, 3)] == ["ok"] * 3 and status[6] is None
     assert status[4] == "error: not well-formed" and status[5].startswith("error: ")

@@ -31,6 +31,28 @@ def test_each_article_is_stored_once(spark, tmp_path):
     assert len(run()) == 4
 
 
+def test_ids_and_outcomes(spark, tmp_path):
+    from pressmill import schemas
+    from pressmill.streaming.poll import feeds_now
+
+    landing, table, log, checkpoint = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "log"), str(tmp_path / "cp")
+    since = F.lit("2024-01-01").cast("timestamp")
+    landing.mkdir()
+
+    def run(name, *rows):
+        (landing / name).write_text("\n".join(json.dumps({"publisher_id": 1, "country_id": 1, "feed_type": "rss"} | r) for r in rows))
+        poll(spark, str(landing), table, checkpoint, since, log=log).awaitTermination(120)
+
+    run("1.json", {"id": 1, "body": feed("One", "Two"), "status": 200, "etag": "e1"}, {"id": 2, "body": "<rss>", "status": 200, "etag": "bad"})
+    run("2.json", {"id": 1, "status": 304}, {"id": 2, "body": feed("Three"), "status": 200, "etag": "e2"}, {"id": 3, "error": "timeout"})
+    stored = spark.read.parquet(table)
+    assert stored.columns == schemas.articles().names and sorted((r.id, r.headline) for r in stored.collect()) == [(1, "One"), (2, "Two"), (3, "Three")]
+    feeds = spark.createDataFrame([(i, None, None, "old", None) for i in range(1, 5)], "id int, last_fetched_at timestamp, last_status string, etag string, last_modified string")
+    now = feeds_now(feeds, spark.read.parquet(log), F.current_timestamp())
+    got = {r.id: (r.last_status, r.etag) for r in now.collect()}
+    assert got == {1: ("not_modified", "e1"), 2: ("ok", "e2"), 3: ("error: timeout", "old"), 4: (None, "old")}
+
+
 def test_rate_limit(spark, tmp_path):
     start = pd.Timestamp("2024-01-01")
     rows = [("a", start + pd.Timedelta(milliseconds=100 * i)) for i in range(101)] + [("b", start)] + [("a", start + pd.Timedelta(seconds=61))]

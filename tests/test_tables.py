@@ -153,3 +153,72 @@ def test_snapshot_and_restore(spark, tmp_path):
     assert back["a"].collect() == t["a"].collect()
     assert {r.table: r.n for r in counts.collect()} == {"a": 1, "b": 0}
     assert store.same_counts(counts, counts).isEmpty()
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_of_many_wide_rows(spark, adaptive):
+    """Ranges are cut once: counted apart from the rows they would differ, and ids repeat."""
+    wide = F.repeat(F.sha2(F.col("id").cast("string"), 256), 2)
+    rows = spark.range(0, 1_200_000, 1, 7).select(F.xxhash64("id").alias("k"), (F.col("id") % 1000).alias("day"), wide.alias("wide"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = upsert.with_ids(rows, spark.range(41), ["day", "k"])
+        assert got.columns == ["k", "day", "wide", "id"]
+        found = got.agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"), F.max("id").alias("m"), F.min("id").alias("l")).head()
+        assert tuple(found) == (1_200_000, 1_200_000, 1_200_040, 41)
+        ordered = got.select("id", F.struct("day", "k").alias("o"), ((F.col("id") - 41) / 1000).cast("int").alias("block"))
+        ends = ordered.groupBy("block").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.min_by("o", "id").alias("a"), F.max_by("o", "id").alias("b")).orderBy("block").collect()
+        assert all(r.first == r.a and r.last == r.b for r in ends) and all(x.last <= y.first for x, y in zip(ends, ends[1:]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_ids_of_nothing(spark):
+    empty = frame(spark, [], "k string")
+    assert upsert.with_ids(empty, spark.range(3), ["k"]).count() == 0
+    assert [r.id for r in upsert.with_ids(frame(spark, [("a",)], "k string"), empty.withColumn("id", F.lit(1)), ["k"]).collect()] == [1]
+
+
+def test_upsert_of_repeated_keys(spark):
+    old = frame(spark, [(1, "a", "x"), (2, "b", "y")], "k int, v string, w string")
+    new = frame(spark, [(1, "c", "p", 1), (1, "d", "q", 2), (3, "e", "r", 1), (3, None, "s", 3), (3, "f", "t", 2)], "k int, v string, w string, n int")
+    got = sorted(map(tuple, upsert.upsert(old, new, ["k"], ["v"], ["n"]).collect()))
+    assert got == [(1, "d", "x"), (2, "b", "y"), (3, None, "r")]  # the first inserts, the last updates
+    assert upsert.upsert(old, new.drop("n"), ["k"], ["v", "w"]).count() == 3
+    assert upsert.upsert(old, new.select("k"), ["k"], []).count() == 3
+
+
+def test_registers(spark, tmp_path):
+    path = str(tmp_path / "builds")
+    for n in (1, 2):
+        store.enter(frame(spark, [(n, f"tag{n}")], "number int, tag string"), path)
+    assert store.register(spark, path, "number int, tag string").count() == 2
+    log = str(tmp_path / "log")
+    for n in (1, 2):
+        store.note(frame(spark, [(f"| {n} | ok |",)], "line string"), log)
+    assert sorted(r.value for r in spark.read.text(log).collect()) == ["| 1 | ok |", "| 2 | ok |"]
+    texts = frame(spark, [('{"n": 1}',), ('[{"n": 1}, {"n": 2}]',), ("",), (None,)], "t string")
+    got = texts.select(store.as_list(F.col("t"), "struct<n:int>").alias("l")).collect()
+    assert [[x.n for x in r.l] for r in got] == [[1], [1, 2], [], []]
+    table = str(tmp_path / "table")
+    spark.range(3).write.parquet(table)
+    store.emptied(spark, table, "id bigint")
+    assert [r.id for r in upsert.with_ids(frame(spark, [("a",)], "k string"), spark.read.parquet(table), ["k"]).collect()] == [1]
+    for name in ("002_b.sql", "001_a.sql", "note.txt"):
+        (tmp_path / name).write_text(f"-- {name}\nSELECT 1;")
+    assert [r.name for r in store.statements(spark, str(tmp_path)).collect()] == ["001_a.sql", "002_b.sql"]
+
+
+def test_similar_names_of_long_names(spark):
+    rows = [("g", "x" * 1000 + "news"), ("g", "News"), ("g", "daily"), ("g", "the-daily news"), ("h", "news")]
+    got = quality.similar_names(frame(spark, rows, "g string, n string"), "g", "n", ["n"]).collect()
+    assert {(r.name_a, r.name_b) for r in got} == {("News", "x" * 1000 + "news"), ("News", "the-daily news"), ("daily", "the-daily news")}
+
+
+def test_stamp_and_backfill(spark):
+    from pressmill.functions.dates import stamp
+
+    row = frame(spark, [(None, "2024-02-03 04:05:06"), ("kept", "2024-02-03 04:05:06")], "c string, t string")
+    got = upsert.backfill(row, "c", stamp(F.col("t").cast("timestamp"))).collect()
+    assert [r.c for r in got] == ["2024-02-03_04-05-06", "kept"]
