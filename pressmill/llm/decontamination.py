@@ -10,9 +10,10 @@ offset in the window bounds where the window could start and end, and the
 words at that place are then compared with the window's.
 
 * One pass reads each document and keeps the stretches whose shingles may all
-  be the benchmark's (a bit map of fixed size tells) and which are long enough
-  for a window. Everything after that works on those stretches.
-* Rarity is counted over all documents' stretches.
+  be the benchmark's (a bit map tells) and which are long enough for a window.
+  Everything after that works on those stretches, cut into pieces.
+* Rarity is counted over all documents' stretches. Shingles travel with their
+  place only; words are fetched for the pieces that a prefix was found in.
 
 Nulls: a null text has no words; a null item_id can hit, but isn't listed.
 Repeated rows each give a row; repeated items count once by item_id.
@@ -30,8 +31,9 @@ from ._shared import ALNUM, chunks, shingle_hashes, text_bytes, word_hashes, wor
 
 WINDOW = 13
 SHINGLE = 5
-#: Size of the bit map that documents' shingles are tested against: 4 MB, for any benchmark.
-FILTER_BITS = 1 << 25
+#: Bits for each of the benchmark's words in the map that documents' shingles are tested against, and bits at most (32 MB).
+#: A map that is too small for a benchmark lets more stretches through, which the join then looks at: the same result.
+BITS_A_WORD, MOST_BITS = 32, 1 << 28
 #: Window starts that one emitted stretch answers for; longer stretches are cut.
 PIECE = 64
 
@@ -67,6 +69,8 @@ def _shingles(words, k):
 
 def _filter(benchmark: DataFrame, sizes: dict[int, int]) -> np.ndarray:
     """Bit map of the hashes of the benchmark's shingles, of every size in use."""
+    words = benchmark.agg(F.sum(F.size(words_of(F.col("text"))))).head()[0] or 0
+    size = 1 << max(16, min(MOST_BITS.bit_length() - 1, (BITS_A_WORD * words * max(1, len(sizes))).bit_length()))
 
     def slots(batches):
         for batch in batches:
@@ -76,13 +80,12 @@ def _filter(benchmark: DataFrame, sizes: dict[int, int]) -> np.ndarray:
                 found = [np.empty(0, np.uint64)]
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     found += [shingle_hashes(hashes[a:b], k) for k in sizes]
-                bits = np.unique(np.concatenate(found) % np.uint64(FILTER_BITS)).astype(np.int64)
+                bits = np.unique(np.concatenate(found) % np.uint64(size)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.int64(1) << (bits & 63))], ["slot", "bits"])
 
-    rows = benchmark.select("text").mapInArrow(slots, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS >> 6, np.int64)  # at most this many rows come, whatever the benchmark's size
-    for r in rows:
-        out[r.slot] = r.bits
+    rows = benchmark.select("text").mapInArrow(slots, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.int64)  # at most this many rows come
+    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
@@ -103,7 +106,7 @@ def _stretches(docs: DataFrame, bits, sizes: dict[int, int], window: int) -> Dat
                 last = np.repeat(first[1:], np.diff(first))  # where each word's document ends
                 covered = np.zeros(len(hashes) + 1, np.int32)
                 for k, least in sizes.items():
-                    h = shingle_hashes(hashes, k) % np.uint64(FILTER_BITS)
+                    h = shingle_hashes(hashes, k) % np.uint64(8 * len(table))
                     hit = (table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
                     at = np.arange(len(h))
                     hit = (hit > 0) & (at + k <= last[: len(h)])
@@ -148,10 +151,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     base = written(_stretches(docs, bits, sizes, window), "stretches")
 
     pieces = base.select("_uid", F.explode("stretches").alias("s")).select("_uid", "s.*")
+    place = ["_uid", "start", "own", "n"]
     by_size = [
-        pieces.where(F.size("words") >= k).select("_uid", "start", "own", "words", F.explode(_shingles(F.col("words"), F.lit(k))).alias("g")).select("*", "g.at", "g.shingle", F.lit(k).alias("k")).drop("g")
+        pieces.where(F.size("words") >= k).select("_uid", "start", "own", F.size("words").alias("n"), F.explode(_shingles(F.col("words"), F.lit(k))).alias("g")).select(*place, "g.at", "g.shingle", F.lit(k).alias("k"))
         for k in sizes
-    ] or [pieces.select("_uid", "start", "own", "words", F.lit(0).alias("at"), F.lit("").alias("shingle"), F.lit(0).alias("k")).where("false")]
+    ] or [pieces.select("_uid", "start", "own", F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit("").alias("shingle"), F.lit(0).alias("k")).where("false")]
     there = by_size[0]
     for more in by_size[1:]:
         there = there.unionByName(more)
@@ -166,13 +170,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     prefix = prefix.where(F.col("found") == F.col("size") - k_of + 1).select("window", "size", "p.shingle", "p.offset")
 
     begin = F.col("at") - F.col("offset")
-    same = F.array_join(F.slice("words", begin + 1, F.col("size")), " ") == F.col("window")
-    hits = (
+    same = F.array_join(F.slice("words", F.col("begin") + 1, F.col("size")), " ") == F.col("window")
+    found = (
         there.join(prefix, "shingle")
-        .where((F.col("k") == k_of) & (begin >= 0) & (begin < F.col("own")) & (begin + F.col("size") <= F.size("words")))
-        .where(same)
-        .select("_uid", (F.col("start") + begin).alias("begin"), "size", "window")
+        .where((F.col("k") == k_of) & (begin >= 0) & (begin < F.col("own")) & (begin + F.col("size") <= F.col("n")))
+        .select("_uid", "start", begin.alias("begin"), "size", "window")
     )
+    hits = found.join(pieces.select("_uid", "start", "words"), ["_uid", "start"]).where(same).select("_uid", (F.col("start") + F.col("begin")).alias("begin"), "size", "window")
     hits = written(hits, "hits")
     spans = hits.select("_uid", F.struct("begin", (F.col("begin") + F.col("size")).alias("end")).alias("span")).distinct()
     items = hits.select("_uid", "window").distinct().join(windows.select("window", F.col("item_id").cast("string").alias("item")), "window").select("_uid", "item").distinct()
