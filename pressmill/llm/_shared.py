@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import dropped, new_path, written  # noqa: F401
+
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can see. Only a local session may leave it unnamed, and has one of its own then."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        context = spark.sparkContext
-        if not context.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + os.path.join(tempfile.gettempdir(), f"shared-{context.applicationId}")
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder that is deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once: a Parquet table in the shared folder outlives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has (letter case aside)."""
     taken = {c.lower() for df in frames for c in df.columns}
