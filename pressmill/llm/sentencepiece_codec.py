@@ -14,7 +14,9 @@ the model is read), so no piece crosses from a word into the next one's U+2581:
 the units between such places are encoded one by one and remembered.
 
 A null or empty text has no pieces. Repeated rows stay, extra columns are kept
-by ``encode`` as they are; an input column named like a new one is replaced.
+by ``encode`` as they are; an input column named like a new one is replaced. A
+very long text is one row like any other, its ids are held at once. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Units that a task remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 48
+#: Bytes of units and their ids that a task remembers, the longest of them, and pairs of pieces.
+REMEMBERED_BYTES, REMEMBERED_CHARS, REMEMBERED_PAIRS = 160 << 20, 48, 1 << 19
+#: What a remembered unit takes beside its characters and ids.
+ENTRY_BYTES = 200
 
 _units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -61,9 +65,10 @@ class PieceModel:
             self.bytes_of[i] = bytes([b])
         for i, x in self.text.items():
             self.bytes_of[i] = x.replace(SPACE, " ").encode()
-        self.compatible = lru_cache(1 << 20)(self._compatible)
+        self.compatible = lru_cache(REMEMBERED_PAIRS)(self._compatible)
         self.heads: dict[str, bytes] = {}  # units that begin with a U+2581, without it
         self.bare: dict[str, bytes] = {}
+        self.held = 0
 
     def _merge(self, text: str) -> list[str]:
         parts, none = list(text), float("-inf")
@@ -121,8 +126,11 @@ class PieceModel:
     def _packed(self, unit: str, head: str, kept: dict[str, bytes]) -> bytes:
         packed = np.array(self.unit(head + unit), np.int32).tobytes()
         if len(unit) <= REMEMBERED_CHARS:
-            if len(kept) >= REMEMBERED:
-                kept.clear()
+            self.held += ENTRY_BYTES + 2 * len(unit) + len(packed)
+            if self.held > REMEMBERED_BYTES:
+                self.heads.clear()
+                self.bare.clear()
+                self.held = 0
             kept[unit] = packed
         return packed
 

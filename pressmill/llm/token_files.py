@@ -47,8 +47,8 @@ END_ID = 0
 BLOCK_IDS = 1 << 21
 #: Bytes of the table's files for each token file, where the session's number of partitions is too small.
 FILE_BYTES = 256 << 20
-#: Texts' pieces that a task remembers, of at most 48 characters each (some hundred MB in all).
-REMEMBERED = 700_000
+#: Bytes of words and their ids that a task remembers, and what one takes beside these.
+REMEMBERED_BYTES, ENTRY_BYTES = 192 << 20, 200
 
 _runs = re.compile(r"(\s+)")
 #: What libraries differ about, whether it is white space.
@@ -101,6 +101,7 @@ class TextEncoder:
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.spaced: dict[str, bytes] = {}  # words behind a space, without it
         self.bare: dict[str, bytes] = {}
+        self.held = 0
         self.mark = {c: self.whole(c) for c in ".,:;!?"}
         self.line_end = self.whole("\n")
         for x in (" The", "word", " Größe", " naïve", " слово", "ção"):
@@ -123,8 +124,9 @@ class TextEncoder:
             got = (kept.get(word[:-1]) or self.word(word[:-1], space)) + self.mark[word[-1]]
         else:
             got = self.whole(space + word)
-        if len(kept) < REMEMBERED and len(word) <= 48:  # the frequent words come early
+        if self.held < REMEMBERED_BYTES and len(word) <= 48:  # the frequent words come early
             kept[word] = got
+            self.held += ENTRY_BYTES + 2 * len(word) + len(got)
         return got
 
     def encode(self, text: str) -> bytes:

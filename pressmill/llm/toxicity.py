@@ -45,6 +45,8 @@ SAMPLE = 20_000
 MOST_SLOTS, LEAST_Z, BESIDE_Z, PAIR_Z = 20_000, 3.0, 4.5, 6.5
 #: Slots that are looked at in pairs.
 PAIRED = 1024
+#: Bytes of words and their slots that a task remembers.
+REMEMBERED_BYTES = 96 << 20
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 15, 64, 0.1, 1e-5
 THRESHOLD = 0.3
 HELD_OUT = 2
@@ -69,7 +71,7 @@ def text_slots(text: str) -> np.ndarray:
     return np.fromiter(found, np.int32, len(found))
 
 
-_known = lru_cache(1 << 19)(word_slots)
+_known = lru_cache(1 << 18)(word_slots)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,14 +86,16 @@ class Machine:
         self.slots, self.bias, self.weights, self.factors = slots, bias, weights, factors
         self.place = {int(s): i for i, s in enumerate(slots)}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def __reduce__(self):
         return Machine, (self.slots, self.bias, self.weights, self.factors)
 
     def _of(self, word: str) -> tuple[int, ...]:
         got = tuple(self.place[s] for s in word_slots(word) if s in self.place)
-        if len(self.words) < 1 << 19:
+        if self.held < REMEMBERED_BYTES:
             self.words[word] = got
+            self.held += 160 + 2 * len(word) + 8 * len(got)
         return got
 
     def score(self, text: str) -> float:
