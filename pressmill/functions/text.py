@@ -47,8 +47,9 @@ def filled(*columns: Column) -> Column:
 
 def normal_headline(headline: Column) -> Column:
     """Trimmed, lower-cased, each run of white space one space (null: empty)."""
-    # single spaces stay as they are; a run begins at one place only, so its length tells how long it takes
-    one = F.regexp_replace(F.coalesce(headline, F.lit("")), f" *{ODD_SPACE}{SPACE}*|  {SPACE}*", " ")
+    # single spaces stay as they are; a run begins at one place only, so its length tells how long it takes, and
+    # what is printable ASCII is passed by first
+    one = F.regexp_replace(F.coalesce(headline, F.lit("")), f"(?![!-~])(?: *{ODD_SPACE}{SPACE}*|  {SPACE}*)", " ")
     return F.trim(F.lower(one))
 
 
