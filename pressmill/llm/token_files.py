@@ -58,7 +58,7 @@ _odd = re.compile(r"[\x1c-\x1f\x85]")
 def plain(text: str) -> bool:
     """Whether all its white space is single spaces or line ends between words."""
     words, breaks = text.split(), text.count(" ") + text.count("\n")
-    return len(words) == breaks + 1 and sum(map(len, words)) + breaks == len(text)
+    return len(words) == breaks + 1 and len("".join(words)) + breaks == len(text)
 
 
 def units(text: str) -> list[str]:
@@ -223,16 +223,18 @@ def write_tokens(docs: DataFrame, spec, path: str) -> DataFrame:
         end = np.uint32(END_ID).tobytes()
         for batch in batches:
             out = out or fs.open_output_stream(f"{root}/{name}")
+            begin = 0  # of the block's documents in this batch
             for k, text in enumerate(batch.column(1)):
                 x = own.encode(text.as_py() or "")
                 packed += [x, end]
-                names.append(batch.column(0).slice(k, 1))
                 lengths.append(len(x) // 4 + 1)
                 waiting += lengths[-1]
                 if waiting >= BLOCK_IDS:
-                    _write_block(out, names, lengths, packed)
+                    _write_block(out, [*names, batch.column(0).slice(begin, k + 1 - begin)], lengths, packed)
                     docs, total = docs + len(lengths), total + waiting
-                    names, lengths, packed, waiting = [], [], [], 0
+                    names, lengths, packed, waiting, begin = [], [], [], 0, k + 1
+            if begin < batch.num_rows:
+                names.append(batch.column(0).slice(begin))
         if lengths:
             _write_block(out, names, lengths, packed)
         if out:
