@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -110,11 +111,12 @@ class TextEncoder:
 
     def whole(self, text: str) -> bytes:
         """By the library, all of it."""
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def letters(self, word: str) -> bytes:
         """By the library's model; the word is letters, or a space and letters."""
-        return np.array([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.alphabet))], np.uint32).tobytes()
+        shown = word.replace(" ", self.alphabet[0x20]) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def word(self, word: str, space: str) -> bytes:
         kept = self.spaced if space else self.bare
