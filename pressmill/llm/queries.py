@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity, warc
+from . import decontamination, filter_audit, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_files": token_files.op10_token_files,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
         "quality_rule_ablations": quality_rules.quality_rule_ablations,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.OP1_SQL,
         "op3_warc": warc.OP3_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
         "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
     }
