@@ -1,0 +1,126 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pressmill.llm import vector_codes as vc
+from pressmill.llm.queries import oracle_sql, queries
+
+from ..oracle import same
+
+
+def test_equals_sql(spark, tables):
+    same(queries()["op13_vector_codes"](spark, tables), tables, oracle_sql()["op13_vector_codes"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 40), st.integers(1, 30), st.integers(0, 13), st.sampled_from([1, 3, 2000, 1 << 20]), st.integers(0, 1 << 30))
+def test_search_equals_all_distances(n, k, d, most, seed):
+    rng = np.random.default_rng(seed)
+    rows, book = rng.integers(-most, most + 1, (n, d)), rng.integers(-most, most + 1, (k, d))
+    book[k // 2 :] = book[: k - k // 2]  # ties
+    entry, distance = vc.nearest(rows, book)
+    full = ((rows[:, None] - book[None]) ** 2).sum(2)
+    assert entry.tolist() == full.argmin(1).tolist() and distance.tolist() == full.min(1).tolist()
+
+
+def brute(rows):
+    """(vec_id, vector, label) in Python's whole numbers: code and error of each kept row, final entries."""
+    kept = [r for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not kept:
+        return [], []
+    width = len(kept[0][1])
+    kept = [r for r in kept if len(r[1]) == width]
+    whole = [[math.floor(1024 * x) for x in r[1]] for r in kept]
+    at = [width * p // 4 for p in range(5)]
+    parts = [[w[a:b] for w in whole] for a, b in zip(at, at[1:], strict=False)]
+    books = [[list(x) for x in p[:256]] for p in parts]
+
+    def assigned():
+        return [[min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), i) for i, c in enumerate(books[p])) for x in parts[p]] for p in range(4)]
+
+    for _ in range(4):
+        for p, found in enumerate(assigned()):
+            for i in range(len(books[p])):
+                own = [x for x, (_, j) in zip(parts[p], found, strict=True) if j == i]
+                if own:
+                    books[p][i] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+    done = assigned()
+    return [(r[0], "".join(f"{done[p][k][1]:02x}" for p in range(4)), sum(done[p][k][0] for p in range(4)), r[2]) for k, r in enumerate(kept)], books
+
+
+def frame(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    return df.withColumns({c: F.lit("clash") for c in ("code", "error", "share", "part", "n")}).repartition(3)
+
+
+def result(df):
+    kept = vc.codable(df)
+    books = vc.train(kept)
+    return sorted(((r.vec_id, r.code, r.error, r.label_error) for r in vc.label_errors(vc.encode(kept, books)).collect()), key=str), books
+
+
+def near(x):
+    return float(np.float32(x))
+
+
+@pytest.mark.parametrize("width", [8, 6, 3])
+def test_odd_rows(spark, width):
+    rng = random.Random(width)
+    vector = lambda: [near(rng.choice([rng.gauss(0, 1), -0.0005, 0.0, -1.0])) for _ in range(width)]
+    rows = [(i, vector(), rng.choice([None, 1, 2])) for i in range(300)]
+    rows += [(7, vector(), 1), (7, rows[7][1], 1), (7, rows[7][1], 1), (None, vector(), None), (None, None, 4), (3, None, 4), (400, [], 4), (401, vector()[:-1] + [float("nan")], 4)]
+    rows += [(402, vector()[:-1] + [float("-inf")], None), (403, [None] + vector()[1:], None), (404, vector()[:-1], 2)] + [(500 + i, [0.25] * width, 9) for i in range(120)]
+    want, books = brute(rows)
+    sums = {}
+    for _, _, e, label in want:
+        sums[label] = sums.get(label, 0) + e
+    got, mine = result(frame(spark, rows))
+    assert got == sorted(((i, c, e, sums[label]) for i, c, e, label in want), key=str)
+    assert [b.tolist() for b in mine] == books
+
+
+def test_few_equal_and_no_rows(spark, tmp_path):
+    for rows in ([(1, [0.5, 0.25, -0.1, 3.0], None)], [(i, [1.0] * 4, 5) for i in range(300)], [(None, [1.0, 2.0], 1), (None, [2.0, 1.0], 1)]):
+        got, mine = result(frame(spark, rows))
+        want, books = brute(rows)
+        assert [x[:3] for x in got] == sorted(((i, c, e) for i, c, e, _ in want), key=str) and [b.tolist() for b in mine] == books
+    for rows in ([], [(1, None, 2), (2, [None], 3)]):
+        frame(spark, rows).drop("n").write.parquet(f"{tmp_path}/{len(rows)}/embeddings.parquet")
+        out = queries()["op13_vector_codes"](spark, f"{tmp_path}/{len(rows)}")
+        assert out.count() == 0 and out.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert result(frame(spark, [(1, [], 1), (2, [], 1)]))[0] == [(1, "00000000", 0, 0), (2, "00000000", 0, 0)]
+
+
+def test_codes_decode_to_what_the_error_says(spark, tables):
+    kept = vc.codable(spark.read.parquet(f"{tables}/embeddings.parquet"))
+    books = vc.train(kept, 2)
+    coded = vc.encode(kept, books)
+    for r in vc.decode(coded.join(kept.withColumnRenamed("embedding", "e").drop("label"), "vec_id"), books).limit(50).collect():
+        assert sum((math.floor(1024 * a) - round(1024 * b)) ** 2 for a, b in zip(r.e, r.embedding, strict=True)) == r.error
+
+
+def test_entries_are_dropped_early():
+    rng = np.random.default_rng(1)
+    rows = rng.normal(0, [300] * 4 + [30] * 12, (2000, 16)).astype(np.int64)
+    book = rows[:256]
+    order = vc.search_order(book)
+    assert set(order[:4]) == {0, 1, 2, 3}
+    left = []
+    whole = np.nonzero
+    try:
+        np.nonzero = lambda m: (left.append(m.mean() if m.ndim == 2 else 0), whole(m))[1]
+        vc.nearest(rows, book)
+    finally:
+        np.nonzero = whole
+    assert max(left) < 0.1  # of all pairs, after the four widest dimensions
+
+
+def test_too_large_components_are_refused(spark):
+    with pytest.raises(OverflowError):
+        vc.integers(np.array([[1e30, 0.0]]))
