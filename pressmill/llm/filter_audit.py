@@ -79,7 +79,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = known.groupBy(*own, "good", "toxic").agg(
         F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("at_first"), n(F.sum(F.when(F.col("doc_id").isNull(), F.col("n")))).alias("unnamed")
     )
-    # a digest has a row for each part and label here, however many documents share it
+    texts = written(texts, "texts")  # read twice; a digest has a row for each part and label, however many documents share it
     least = texts.groupBy("digest").agg(F.min("first").alias("least"))
     passing = F.col("unnamed") + F.when(F.col("first") == F.col("least"), F.col("at_first")).otherwise(F.lit(0).cast("bigint"))
     split = texts.join(least, "digest").withColumn("passing", passing)
