@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, filter_audit, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity, vector_codes, warc
+from . import decontamination, filter_audit, fingerprints, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity, vector_codes, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_files": token_files.op10_token_files,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_fingerprints": fingerprints.op12_fingerprints,
         "op13_vector_codes": vector_codes.op13_vector_codes,
         "quality_rule_ablations": quality_rules.quality_rule_ablations,
     }
