@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import escape_ampersands, filled
+from .pool import completed
 
 AGENT = "pressmill/0.1 (feed reader)"
+#: Seconds that an answer may take.
 TIMEOUT = 15
+ANSWER = "url string, status int, body string, etag string, last_modified string, error string"
 
 _TEXT = "struct<_VALUE:string>"
 _CATEGORY = "array<struct<_VALUE:string,_domain:string,_term:string>>"
@@ -118,6 +122,7 @@ def feed_items(documents: DataFrame, body: str = "body", kind: str = "feed_type"
 @dataclass
 class _Feed(InputPartition):
     rows: list
+    slots: int
 
 
 class _Reader(DataSourceReader):
@@ -125,25 +130,51 @@ class _Reader(DataSourceReader):
         import json
 
         self.feeds = json.loads(options["feeds"])  # [{url, etag, last_modified}]
-        self.slots = int(options.get("slots", "20"))
+        self.slots, self.tasks = int(options.get("slots", "20")), int(options.get("tasks", "2"))
 
     def partitions(self):
-        return [_Feed(self.feeds[i :: self.slots]) for i in range(min(self.slots, len(self.feeds)))]
+        tasks = max(1, min(self.tasks, self.slots, len(self.feeds)))
+        return [_Feed(self.feeds[i::tasks], share) for i, share in enumerate(shares(self.slots, tasks))]
 
     def read(self, partition) -> Iterator[tuple]:
-        for feed in partition.rows:
-            yield fetch(feed["url"], feed.get("etag"), feed.get("last_modified"))
+        yield from (x for x in answers(partition.rows, partition.slots) if x)
 
 
-def fetch(url: str, etag: str | None = None, last_modified: str | None = None) -> tuple:
-    """(url, status, body, etag, last_modified, error): one conditional request; errors are rows, too."""
+def shares(slots: int, tasks: int) -> list[int]:
+    """Slots of each task; together no more than there are."""
+    return [slots // tasks + (i < slots % tasks) for i in range(tasks)]
+
+
+def answers(feeds, slots: int, seconds: float | None = None, until: float | None = None) -> Iterator[tuple | None]:
+    """What fetch gives for each of the feeds, in order of completion, `slots` at a time; None in a lull."""
+    seconds = TIMEOUT if seconds is None else seconds
+    ask = lambda f: fetch(f["url"], f.get("etag"), f.get("last_modified"), seconds)
+    for found in completed(feeds, ask, slots, seconds + 1, until):
+        if found is None:
+            yield None
+        else:
+            feed, answer, error = found
+            yield answer if error is None else (feed["url"], None, None, None, None, str(error) or type(error).__name__)
+
+
+def fetch(url: str, etag: str | None = None, last_modified: str | None = None, seconds: float = TIMEOUT) -> tuple:
+    """(url, status, body, etag, last_modified, error): one conditional request; errors are rows, too.
+
+    seconds is for the whole answer: one that comes in drops is given up, too.
+    """
     from urllib.error import HTTPError
     from urllib.request import Request, urlopen
 
     headers = {"User-Agent": AGENT} | ({"If-None-Match": etag} if etag else {}) | ({"If-Modified-Since": last_modified} if last_modified else {})
+    end = time.monotonic() + seconds
     try:
-        with urlopen(Request(url, headers=headers), timeout=TIMEOUT) as got:
-            body = got.read().decode(got.headers.get_content_charset() or "utf-8", "replace")
+        with urlopen(Request(url, headers=headers), timeout=seconds) as got:
+            parts = []
+            while part := got.read1(1 << 16):
+                parts.append(part)
+                if time.monotonic() > end:
+                    raise TimeoutError(f"no whole answer within {seconds:g} seconds")
+            body = b"".join(parts).decode(got.headers.get_content_charset() or "utf-8", "replace")
             return url, getattr(got, "status", None) or 200, body, got.headers.get("ETag"), got.headers.get("Last-Modified"), None
     except HTTPError as e:
         return (url, 304, None, etag, last_modified, None) if e.code == 304 else (url, e.code, None, None, None, f"HTTP {e.code}")
@@ -152,14 +183,17 @@ def fetch(url: str, etag: str | None = None, last_modified: str | None = None) -
 
 
 class FeedSource(DataSource):
-    """spark.read.format("feeds"): one row for each feed of the option `feeds` (JSON), fetched by up to `slots` tasks."""
+    """spark.read.format("feeds"): one row for each feed of the option `feeds` (JSON), fetched by `slots` slots in `tasks` tasks.
+
+    As a stream (spark.readStream.format("feeds")) see streaming.feed_stream.
+    """
 
     @classmethod
     def name(cls):
         return "feeds"
 
     def schema(self):
-        return "url string, status int, body string, etag string, last_modified string, error string"
+        return ANSWER
 
     def reader(self, schema):
         return _Reader(self.options)
