@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import dates
 from ..operators.upsert import merge_poll_status
 from ..sources.feeds import TIMEOUT, feed_items, fetch, shares
 from ..sources.pool import completed
+from ..sources.tables import stored
+from ..streaming.lease import Busy, acquire
 from . import ingest, read_api
 
 FETCHED = "id int, publisher_id int, country_id int, feed_type string, status int, body string, etag string, last_modified string, error string"
@@ -79,3 +82,20 @@ def poll_once(spark: SparkSession, feeds: DataFrame, publishers: DataFrame, stor
     inserted = fresh.groupBy(F.col("feed_id").alias("id")).agg(F.count("*").alias("inserted"))
     results = done.join(inserted, "id", "left").select((~F.startswith("status", F.lit("error"))).alias("ok"), "inserted")
     return Poll(fresh, merge_poll_status(feeds, done, now), ingest.summary(results))
+
+
+def poll_alone(spark: SparkSession, feeds: DataFrame, publishers: DataFrame, table: str, landing: str, now: Column, slots: int = SLOTS, seconds: float = DEADLINE) -> Poll | None:
+    """A poll that no other overlaps: its articles are appended to the table under a lease. None, and nothing asked, if a poll is running.
+
+    A poll that isn't done after `seconds` loses its lease and appends nothing.
+    """
+    try:
+        lease = acquire(spark, table, seconds)
+    except Busy:
+        return None
+    try:
+        done = poll_once(spark, feeds, publishers, stored(spark, table), landing, now, slots)
+        lease.append(done.articles.select(schemas.articles().names))
+        return done
+    finally:
+        lease.release()  # what was staged and not moved in is no part of the table

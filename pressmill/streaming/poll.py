@@ -18,33 +18,28 @@ from .. import schemas
 from ..operators.upsert import merge_poll_status
 from ..plans.ingest import article_rows, items_of, new_articles, outcomes
 from ..sources.feeds import feed_items
+from ..sources.tables import stored
+from .lease import DEADLINE, held
 
 DOCUMENTS = "id int, publisher_id int, country_id int, feed_type string, body string, status int, etag string, last_modified string, error string"
 LOG = "id int, status string, etag string, last_modified string, batch bigint"
 
 
-def _stored(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    schema = schema or schemas.articles()
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
-def poll(spark: SparkSession, landing: str, table: str, checkpoint: str, since: Column, every: str | None = None, log: str | None = None) -> StreamingQuery:
+def poll(spark: SparkSession, landing: str, table: str, checkpoint: str, since: Column, every: str | None = None, log: str | None = None, deadline: float = DEADLINE) -> StreamingQuery:
     """Starts a query over JSON documents under landing. every: a processing-time trigger, else what is there is run once.
 
-    log: where outcomes of the feeds are appended.
+    log: where outcomes of the feeds are appended. Queries over one table take turns, by a lease for each micro-batch,
+    which ends after `deadline` seconds.
     """
     landed = spark.readStream.schema(DOCUMENTS).json(landing)
     columns = schemas.articles().names
 
     def batch(documents: DataFrame, number: int) -> None:
         parsed = feed_items(documents)
-        stored = _stored(documents.sparkSession, table)
-        fresh = new_articles(stored, article_rows(items_of(parsed), since))
-        fresh.withColumn("fetched_at", F.current_timestamp()).select(columns).write.mode("append").parquet(table)
+        rows = article_rows(items_of(parsed), since)
+        with held(documents.sparkSession, table, deadline, wait=deadline) as lease:
+            fresh = new_articles(stored(documents.sparkSession, table), rows)
+            lease.append(fresh.withColumn("fetched_at", F.current_timestamp()).select(columns))
         if log:  # a batch that runs again writes its folder again
             outcomes(parsed).withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
