@@ -23,9 +23,29 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence) -> Data
     return rows.groupBy(*keys).agg(F.min(ordered).alias("_first")).select(*keys, *[F.col(f"_first.col{len(order) + 1}.{v}").alias(v) for v in values]).select(rows.columns)
 
 
+#: Bytes of a batch's keys up to which they are sent to every task of the table's scan.
+SMALL = 64 << 20
+
+
 def insert_ignore(existing: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """The batch's rows with keys that are new: the first row of each, what is stored never changes."""
-    return first_per_key(batch, keys, order).join(existing.select(*keys).distinct(), list(keys), "left_anti")
+    """The batch's rows with keys that are new: the first row of each, what is stored never changes.
+
+    The batch's keys are looked for in the table where it is read, so that only those that are stored travel on. The
+    batch is written first: its size is known then, and its keys are broadcast if they are small.
+    """
+    first = written(first_per_key(batch, keys, order), "batch")
+    wanted = first.select(*keys)
+    known = existing.select(*keys).join(F.broadcast(wanted) if _bytes(wanted) <= SMALL else wanted, list(keys), "left_semi")
+    return first.join(known, list(keys), "left_anti")
+
+
+def new_rows(batch: DataFrame, known: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """As insert_ignore, where it is known which of the batch's keys are stored."""
+    return first_per_key(batch, keys, order).join(known, list(keys), "left_anti")
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _folded(batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence) -> DataFrame:

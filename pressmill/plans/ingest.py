@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators.upsert import insert_ignore, with_ids
+from ..operators.upsert import insert_ignore, new_rows, with_ids
+from ..scratch import written
+from ..streaming.hash_index import HashIndex
 
 ROW = ["feed_id", "publisher_id", "country_id", "headline", "summary", "image_url", "original_url", "author", "category", "published_at", "dedup_hash"]
 
@@ -47,6 +49,14 @@ def new_articles(stored: DataFrame, rows: DataFrame) -> DataFrame:
     return with_ids(fresh, stored, ["feed_id", "position", "dedup_hash"]).select("id", *ROW)
 
 
+def indexed_articles(index: HashIndex, rows: DataFrame) -> DataFrame:
+    """As new_articles, but what is stored is asked of an index, and so is the largest id."""
+    rows = written(rows, "rows")  # parsed once
+    fresh = new_rows(rows, index.known(rows), ["dedup_hash"], ["feed_id", "position"])
+    top = rows.sparkSession.createDataFrame([(index.top,)], "id bigint")
+    return with_ids(fresh, top, ["feed_id", "position", "dedup_hash"]).select("id", *ROW)
+
+
 def outcomes(fetched: DataFrame) -> DataFrame:
     """(id, status, etag, last_modified) of a poll: one row for each feed, failures too. items null: not well-formed."""
     status = (

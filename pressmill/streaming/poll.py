@@ -2,7 +2,8 @@
 
 State is the articles table itself: a hash that is stored is never inserted
 again, however late it comes, so no watermark may expire it. A micro-batch that
-is run again finds its own rows stored and adds nothing.
+is run again finds its own rows stored and adds nothing. With an index (hash_index)
+a micro-batch reads what its own hashes call for, not all of the table's.
 
 Ids go on behind the largest stored one. What a poll did to each feed is appended
 to a log, by micro-batch; ``feeds_now`` merges the latest of it into the feeds.
@@ -16,32 +17,53 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators.upsert import merge_poll_status
-from ..plans.ingest import article_rows, items_of, new_articles, outcomes
+from ..plans.ingest import article_rows, indexed_articles, items_of, new_articles, outcomes
+from ..scratch import scope, written
 from ..sources.feeds import feed_items
 from ..sources.tables import stored
-from .lease import DEADLINE, held
+from .hash_index import HashIndex
+from .lease import DEADLINE, Lease, held
 
 DOCUMENTS = "id int, publisher_id int, country_id int, feed_type string, body string, status int, etag string, last_modified string, error string"
 LOG = "id int, status string, etag string, last_modified string, batch bigint"
 
 
-def poll(spark: SparkSession, landing: str, table: str, checkpoint: str, since: Column, every: str | None = None, log: str | None = None, deadline: float = DEADLINE) -> StreamingQuery:
+def poll(spark: SparkSession, landing: str, table: str, checkpoint: str, since: Column, every: str | None = None, log: str | None = None, index: str | None = None, deadline: float = DEADLINE) -> StreamingQuery:
     """Starts a query over JSON documents under landing. every: a processing-time trigger, else what is there is run once.
 
+    index: where an index of the stored hashes is kept, so that a micro-batch reads no more of the table than it must.
     log: where outcomes of the feeds are appended. Queries over one table take turns, by a lease for each micro-batch,
     which ends after `deadline` seconds.
     """
     landed = spark.readStream.schema(DOCUMENTS).json(landing)
     columns = schemas.articles().names
 
+    known: list[HashIndex] = []
+
     def batch(documents: DataFrame, number: int) -> None:
-        parsed = feed_items(documents)
-        rows = article_rows(items_of(parsed), since)
-        with held(documents.sparkSession, table, deadline, wait=deadline) as lease:
-            fresh = new_articles(stored(documents.sparkSession, table), rows)
-            lease.append(fresh.withColumn("fetched_at", F.current_timestamp()).select(columns))
-        if log:  # a batch that runs again writes its folder again
-            outcomes(parsed).withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        session = documents.sparkSession
+        with scope(session):  # what a micro-batch writes for itself goes away with it
+            parsed = written(feed_items(documents), "parsed")
+            rows = article_rows(items_of(parsed), since)
+            with held(session, table, deadline, wait=deadline) as lease:
+                if index:
+                    _by_index(session, lease, rows)
+                else:
+                    lease.append(new_articles(stored(session, table), rows).withColumn("fetched_at", F.current_timestamp()).select(columns))
+            if log:  # a batch that runs again writes its folder again
+                outcomes(parsed).withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    def _by_index(session: SparkSession, lease: Lease, rows: DataFrame) -> None:
+        """Appends what the index doesn't know. Table and index may differ where a writer died, so both are read whole at the start and after that."""
+        if not known or lease.inherited:
+            known[:] = [HashIndex(session, index)]
+            there = stored(session, table)
+            known[0].add(known[0].missing(there), there.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0])
+        known[0].refresh()  # another query may have added to it
+        fresh = written(indexed_articles(known[0], rows).withColumn("fetched_at", F.current_timestamp()).select(columns), "fresh")
+        if n := fresh.count():
+            lease.append(fresh)
+            known[0].add(fresh, known[0].top + n)
 
     writer = landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
