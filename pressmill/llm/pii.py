@@ -8,11 +8,15 @@ surrogates, in all documents (coreference), and distinct ones distinct
 surrogates; it is a single cycle, so no entity keeps its value. Spelling does
 not matter: letter case and separators are put back around the surrogate.
 
-Before texts are rewritten, the distinct entities of all documents are checked:
-if two of a type would share a surrogate, or one would keep its value or get that
-of another entity of the documents (but for `SHARED` kinds, where chance gives
-that of a stranger at any key), the key is changed and the check repeated, so
-what is written is free of collisions.
+Before texts are rewritten, the distinct entities of all documents are checked: no
+two of a type may share a surrogate, and none may keep its value or get that of
+another entity of the documents (but for `SHARED` kinds, where chance gives that of
+a stranger at any key). An entity for which that fails goes on along its cycle to
+the next value that is no entity's and not given out; where `STEPS` values aren't
+free, its form is too full, and it gets a longer one, by as many digits as it takes.
+These exceptions are a table of their own, joined with the documents that hold them
+(or sent along, while they are few). What finds no free value in `ROUNDS` rounds is
+in the table as exhausted, with a value that is distinct but some stranger's.
 
 Who has the key can undo the permutations, so it is the caller's and stands in no
 file of this package: ``configured_key`` takes it from the session, or makes one
@@ -40,14 +44,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import written
+from ._shared import SALTS, fresh, numbered, salt, written
 
 #: Where a session names the key, or a file that holds it (of the driver).
 KEY_CONF, KEY_FILE_CONF = "spark.pressmill.pii.key", "spark.pressmill.pii.keyFile"
-#: Keys that are tried before giving up.
-KEYS = 8
+#: Values of an entity's cycle that are tried before its form is widened; rounds until it counts as exhausted.
+STEPS, ROUNDS = 5, 24
+#: Exceptions that are sent to every task; more than these are joined with the documents that hold them.
+SHIPPED = 100_000
 #: Entities of which another's surrogate may be the value by chance: there are too few of them, or many share one.
-SHARED = ("name", "ip", "ssn", "phone")
+SHARED = ("name", "ip", "ipv6", "ssn", "phone")
+#: Kinds whose values may get longer.
+WIDENED = ("email", "secret", "card", "iban")
 
 #: Titles by gender, and given names by gender and script.
 TITLES = {
@@ -68,6 +76,7 @@ NAMES |= {
 }
 _list_of = {n: group for group, names in NAMES.items() for n in names}
 _given_names = [n for (kind, _), names in NAMES.items() if kind != "s" for n in names]
+_given_names += [n.upper() for n in _given_names]
 
 #: Characters that replace each other.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñçßšž", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщьъ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
@@ -76,7 +85,7 @@ ALPHABETS += ["AEIOU", "BCDFGHJKLMNPQRSTVWXYZ"]
 _class_of = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 HEX = "0123456789abcdef"
 #: What shows the kind of a secret stays.
-_shown = re.compile("AKIA|gh[pousr]_|sk-|eyJ")
+_shown = re.compile("AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ")
 
 
 @lru_cache(None)
@@ -101,15 +110,21 @@ def place_of(c: str) -> tuple[str, int] | None:
 _title = "|".join(sorted((re.escape(t) for group in TITLES.values() for t in group), key=len, reverse=True))
 _given = "|".join(_given_names)
 _cap = r"[^\W\d_a-zа-яß-öø-ÿ][\w'’-]*"
+#: A word for a secret, of any case, and what may follow it in the name of a variable.
+_secret_word = r"""(?<![^\W_])(?i:token|secret|password|passwd|api[\ _-]?key)(?:_[A-Za-z]{1,12}){0,2}["']?"""
 PATTERN = re.compile(
-    r"""(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-    |(?P<secret>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{20,}|eyJ[\w-]{10,}\.[\w-]+(?:\.[\w-]+)?|[0-9a-f]{32,}|[0-9A-F]{32,})\b
-        |(?<![\w-])(?:token|secret|password|passwd|api[_-]?key)["']?\s*[=:]\s*["']?(?P<value>[\w+/-]{8,}))
-    |(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))
+    r"""(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)
+    |(?P<secret>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]+(?:\.[\w-]+)?|[0-9a-f]{32,}|[0-9A-F]{32,})\b
+        |"""
+    + _secret_word
+    + r"""\s*[=:]\s*["']?(?P<value>[\w+/-]{8,}))
+    |(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}
+        |(?=[0-9A-Fa-f:]{0,39}\d)(?=[0-9A-Fa-f:]{6,39}(?![\w:]))[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:]))
     |(?P<iban>\b[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){3,7}(?:\ ?[A-Z0-9]{1,3})?\b)
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-    |(?P<phone>(?<![\w+])\+\d{1,3}[\ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\ .-]?\d{2,4}){1,4}(?!\d)|(?:\(\d{3}\)\ ?|(?<!\w)\d{3}[\ .-])\d{3}[\ .-]\d{4}(?!\d))
+    |(?P<phone>(?<![\w+])\+\d{1,3}[\ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\ .-]?\d{2,4}){1,4}(?!\d)|(?:\(\d{3}\)\ ?|(?<!\w)\d{3}[\ .-])\d{3}[\ .-]\d{4}(?!\d)
+        |(?<![\w.,/-])(?=0(?:[\ ./-]?\d){8,11}(?![\d-]))0\d{1,4}[\ ./-]\d{2,8}(?:[\ .-]\d{2,4}){0,4}(?![\w-]))
     |(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?:[\ -]\d{4}){2,3}(?:[\ -]\d{1,3})?|\d{4}[\ -]\d{6}[\ -]\d{5})(?![\d-]))
     |(?P<name>(?<!\w)(?:(?:"""
     + _title
@@ -130,12 +145,12 @@ _has = re.compile(r"[\d@]")
 _words = sorted({*_given_names, *(t for group in TITLES.values() for t in group)})
 _word = re.compile("|".join(f"{c}(?:{'|'.join(re.escape(w[1:]) for w in _words if w[0] == c)})" for c in sorted({w[0] for w in _words})))
 _named = re.compile(rf"(?<!\w)(?:(?:{_title})\.?|{_given})\ ")
-_begins = re.compile(r"AKIA|gh[pousr]_\w{20}|sk-[\w-]{20}|eyJ[\w-]{10}")
+_begins = re.compile(r"AKIA|gh[pousr]_\w{20}|xox[abprs]-|sk-[\w-]{20}|eyJ[\w-]{10}")
 _letters = re.compile("[A-Fa-f]{32}")
-_key_words = ("token", "secret", "password", "passwd", "apikey", "api_key", "api-key")
-_key = re.compile(r"""(?:token|secret|password|passwd|api[_-]?key)["']?\s*[=:]""")
+_key_words = ("token", "secret", "password", "passwd", "apikey", "api_key", "api-key", "api key")
+_key = re.compile(_secret_word.replace("\\ ", " ") + r"\s*[=:]")
 #: A key word and its value in different lines, the one match that goes on behind a line end.
-_across = re.compile(r"""(?:token|secret|password|passwd|api[_-]?key)["']?(?:\s*\n\s*[=:]|\s*[=:]\s*\n)""")
+_across = re.compile(_secret_word.replace("\\ ", " ") + r"(?:\s*\n\s*[=:]|\s*[=:]\s*\n)")
 
 
 class Keyed:
@@ -206,7 +221,7 @@ class Keyed:
                 return new + str((check - luhn(body) + luhn(new)) % 10)
             return self.characters(kind, canonical)
         if kind == "phone":
-            keep = 0 if canonical[0] != "+" else 2 if canonical[1] in "17" else 3
+            keep = int(canonical[0] == "0") if canonical[0] != "+" else 2 if canonical[1] in "17" else 3
             return canonical[:keep] + self.characters(kind + canonical[:keep], canonical[keep:])
         if kind == "ip":
             o = [int(x) for x in canonical.split(".")]
@@ -223,7 +238,7 @@ class Keyed:
                 x = self.next("ip", x, 1 << 32)
                 if not any(test([*x.to_bytes(4)]) for test, _, _ in _ranges):
                     return ".".join(map(str, x.to_bytes(4)))
-        if kind == "ipv6" or kind == "secret" and re.fullmatch("[0-9a-f]+", canonical):
+        if kind == "ipv6" or kind == "secret" and re.fullmatch("[0-9a-f]+", canonical) and not canonical.isdigit():
             return self.characters(kind, canonical, HEX)
         if kind == "secret" and (shown := _shown.match(canonical)):
             front = shown.group()
@@ -241,6 +256,32 @@ class Keyed:
         return self.characters(kind, canonical)
 
 
+    def further(self, kind: str, canonical: str, attempt: int) -> tuple[str, int]:
+        """The surrogate of an attempt, and the characters that it is longer: first values further along the cycle, then longer forms."""
+        wide = max(0, attempt - STEPS + 1) if kind in WIDENED else 0
+        new = widened(kind, canonical, wide)
+        for _ in range(attempt + 1 if not wide else 1):
+            new = self.surrogate(kind, new)
+        return new, wide
+
+
+def widened(kind: str, canonical: str, n: int) -> str:
+    """An entity of the same kind, n digits longer; check digits are as right or wrong as they were."""
+    more = "0" * n
+    if not n:
+        return canonical
+    if kind == "email":
+        local, _, domain = canonical.rpartition("@")
+        return f"{local}{more}@{domain}"
+    if kind == "card":
+        body, check = canonical[:-1], int(canonical[-1])
+        return body + more + str((check - luhn(body) + luhn(body + more)) % 10)
+    if kind == "iban":
+        land, check, body = canonical[:2], int(canonical[2:4]), canonical[4:]
+        return f"{land}{(check - iban_check(land, body) + iban_check(land, body + more)) % 100:02d}{body}{more}"
+    return canonical + more
+
+
 _ranges = [  # address ranges that an address stays in: test, octets that stay, kind
     (lambda o: o[0] in (0, 10, 127), 1, 256),
     (lambda o: o[0] == 172 and 16 <= o[1] < 32, 0, 16),
@@ -288,10 +329,10 @@ def _spelled(kind: str, new: str, old: str) -> str:
     """The surrogate with the separators and the letter case of what it replaces."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(new.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in old)
+        return "".join(next(digits) if c.isdigit() else c for c in old) + "".join(digits)
     if kind == "iban":
         rest = iter(new.upper())
-        return "".join(c if c == " " else next(rest) for c in old)
+        return "".join(c if c == " " else next(rest) for c in old) + "".join(rest)
     if kind == "name":
         return " ".join(_cased(n, o) for n, o in zip(new.split(" "), old.split(" "), strict=True))
     if kind == "ip" or len(new) != len(old):
@@ -311,7 +352,8 @@ def rewritten(text: str, each) -> str:
     def put(m):
         return each(*_parts(m))
 
-    keys = any(w in text for w in _key_words)
+    low = text.lower()
+    keys = any(w in low for w in _key_words)
     if keys and _across.search(text):
         return PATTERN.sub(put, text)
     keys = keys and _key.search(text)
@@ -360,24 +402,66 @@ def unchanged(kind: str, canonical: str, surrogate: str) -> bool:
     return canonical == surrogate and any(map(place_of, canonical))
 
 
-def collisions(found: DataFrame, key: str) -> DataFrame:
-    """(kind, surrogate, n): surrogates that several entities would share, that equal their entity, or that are another's value."""
+def surrogates(found: DataFrame, key: str, attempt: int = 0) -> DataFrame:
+    """(kind, canonical, surrogate, widened, same, kept): entities with what stands for them in an attempt."""
 
     def scan(batches):
         keyed = Keyed(key)
         for batch in batches:
             kinds, old = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            new = [keyed.surrogate(k, c) for k, c in zip(kinds, old, strict=True)]
+            made = [keyed.further(k, c, attempt) for k, c in zip(kinds, old, strict=True)]
+            new = [m[0] for m in made]
             same = list(map(unchanged, kinds, old, new))
             kept = [o == n for o, n in zip(old, new, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(same, pa.bool_()), pa.array(kept, pa.bool_())], ["kind", "surrogate", "same", "kept"])
+            columns = [batch.column(0), batch.column(1), pa.array(new, pa.string()), pa.array([m[1] for m in made], pa.int32()), pa.array(same, pa.bool_()), pa.array(kept, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "canonical", "surrogate", "widened", "same", "kept"])
+
+    return found.select("kind", "canonical").mapInArrow(scan, "kind string, canonical string, surrogate string, widened int, same boolean, kept boolean")
+
 
-    pairs = found.select("kind", "canonical").mapInArrow(scan, "kind string, surrogate string, same boolean, kept boolean")
+def collisions(found: DataFrame, key: str) -> DataFrame:
+    """(kind, surrogate, n, taken): surrogates that several entities would share, that equal their entity, or that are another's value (taken)."""
+    pairs = surrogates(found, key).select("kind", "surrogate", "same", "kept")
     none = F.lit(None).cast("boolean")
     own = found.where(~F.col("kind").isin(*SHARED)).select("kind", F.col("canonical").alias("surrogate"), none.alias("same"), none.alias("kept"))
     both = pairs.unionAll(own).groupBy("kind", "surrogate").agg(F.count("same").alias("n"), F.count_if(F.col("same").isNull()).alias("others"), F.max(F.col("same").cast("int")).alias("same"), F.count_if("kept").alias("kept"))
     # what has nothing to replace is its own surrogate, and no other's value
-    return both.where("n > 1 OR same = 1 OR n = 1 AND others > kept").select("kind", "surrogate", "n")
+    taken = (F.col("same") == 1) | (F.col("others") > F.col("kept")) & (F.col("n") >= 1)
+    return both.where("n > 1 OR same = 1 OR n = 1 AND others > kept").select("kind", "surrogate", "n", taken.alias("taken"))
+
+
+EXCEPTION = "kind string, canonical string, surrogate string, widened int, exhausted boolean"
+
+
+def exceptions(found: DataFrame, key: str) -> DataFrame:
+    """Entities whose surrogate isn't the key's own, with the one they get. found: distinct entities.
+
+    Each round moves those that still collide to their next value and looks for it among all entities and all that is
+    given out; of several that come to one value, the least keeps it.
+    """
+    spark = found.sparkSession
+    bad = written(collisions(found, key), "collisions")
+    if bad.isEmpty():
+        return spark.createDataFrame([], EXCEPTION)
+    at, own = ["kind", "surrogate"], ["kind", "canonical"]
+    made = written(surrogates(found, key), "surrogates")
+    hit = made.join(bad, at)
+    stays = hit.where("NOT taken").groupBy(*at).agg(F.min("canonical").alias("canonical"))
+    moving = written(hit.select(*own).distinct().join(stays.select(*own), own, "left_anti"), "moving")
+    given = written(made.join(moving, own, "left_anti").select(*at), "given")
+    real = found.where(~F.col("kind").isin(*SHARED)).select("kind", F.col("canonical").alias("surrogate"))
+    out = spark.createDataFrame([], EXCEPTION)
+    for attempt in range(1, ROUNDS + 1):
+        new = written(surrogates(moving, key, attempt), "attempt")
+        least = new.where(~F.col("same")).groupBy(*at).agg(F.min("canonical").alias("canonical"))
+        free = least.join(real, at, "left_anti").join(given, at, "left_anti").select(*own)
+        placed = written(new.join(free, own, "left_semi").select(*own, "surrogate", "widened", F.lit(False).alias("exhausted")), "placed")
+        out, given = out.unionAll(placed), given.unionAll(placed.select(*at))
+        moving = written(new.join(placed, own, "left_anti").select(*own), "moving")
+        if moving.isEmpty():
+            return written(out, "exceptions")
+    # nothing free: a form of one value, or kinds that can't get longer
+    return written(out.unionAll(surrogates(moving, key).select(*own, "surrogate", "widened", F.lit(True).alias("exhausted"))), "exceptions")
 
 
 def configured_key(spark) -> str:
@@ -396,33 +480,73 @@ def _own_key(application: str) -> str:
 
 
 def choose_key(docs: DataFrame, key: str) -> str:
-    """The first key derived from `key` under which the documents' entities don't collide."""
+    """The key of a table's surrogates. What collides under it is told by `exceptions`."""
     if not key:
         raise ValueError("surrogates need a key")
-    found = written(entities(docs), "entities")
-    for attempt in range(KEYS):
-        tried = f"{key}/{attempt}"
-        if collisions(found, tried).isEmpty():
-            return tried
-    raise ValueError(f"entities collide under {KEYS} keys")
+    return f"{key}/0"
+
+
+def prepared(docs: DataFrame, key: str) -> tuple[str, DataFrame]:
+    """(key, exceptions) for the entities of all documents, for `replace`."""
+    chosen = choose_key(docs, key)
+    return chosen, exceptions(written(entities(docs), "entities"), chosen)
+
+
+def _with_moved(docs: DataFrame, moved: DataFrame, column: str) -> DataFrame:
+    """docs with the exceptions that each holds. An entity of very many documents is dealt to many tasks."""
+    rows, uid = numbered(docs)
+
+    def scan(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen: dict[tuple[str, str], None] = {}
+
+                def note(kind, front, entity, canonical, seen=seen):
+                    seen[kind, canonical] = None
+                    return front + entity
+
+                rewritten(t or "", note)
+                out += [(i, *x) for x in seen]
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["uid", "kind", "canonical"])
+
+    held = rows.select(uid, "text").mapInArrow(scan, "uid long, kind string, canonical string").withColumn("share", salt("uid"))
+    every = moved.select("kind", "canonical", "surrogate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("share"))
+    mine = held.join(every, ["kind", "canonical", "share"]).groupBy("uid").agg(F.collect_list(F.struct("kind", "canonical", "surrogate")).alias(column))
+    return rows.join(mine.withColumnRenamed("uid", uid), uid, "left").drop(uid)
+
 
+def replace(docs: DataFrame, key: str, count: str = "n_entities", listed: str = "entities", moved: DataFrame | None = None) -> DataFrame:
+    """docs with surrogates in text, how many (long), and of which kinds (in order), under names of choice.
 
-def replace(docs: DataFrame, key: str, count: str = "n_entities", listed: str = "entities") -> DataFrame:
-    """docs with surrogates in text, how many (long), and of which kinds (in order), under names of choice."""
+    moved: the exceptions to the key's surrogates, if there are any.
+    """
     new = {count: T.LongType(), listed: T.ArrayType(T.StringType())}
     kept = [f for f in docs.schema.fields if f.name not in new]
     schema = T.StructType([*kept, *(T.StructField(k, t) for k, t in new.items())])
+    sent: dict[tuple[str, str], str] = {}
+    extra = None
+    if moved is not None:
+        few = moved.limit(SHIPPED + 1).count() <= SHIPPED
+        if few:
+            sent = {(r.kind, r.canonical): r.surrogate for r in moved.select("kind", "canonical", "surrogate").collect()}
+        else:
+            extra = fresh("_moved", docs)
+            docs = _with_moved(docs, moved, extra)
 
     def scan(batches):
         keyed = Keyed(key)
         for batch in batches:
             texts, kinds = [], []
-            for t in batch.column("text").to_pylist():
+            of_rows = batch.column(extra).to_pylist() if extra else [None] * batch.num_rows
+            for t, mine in zip(batch.column("text").to_pylist(), of_rows, strict=True):
                 seen: list[str] = []
+                own = {(x["kind"], x["canonical"]): x["surrogate"] for x in mine} if mine else sent
 
-                def put(kind, front, entity, canonical, seen=seen):
+                def put(kind, front, entity, canonical, seen=seen, own=own):
                     seen.append(kind)
-                    return front + _spelled(kind, keyed.surrogate(kind, canonical), entity)
+                    return front + _spelled(kind, own.get((kind, canonical)) or keyed.surrogate(kind, canonical), entity)
 
                 texts.append(None if t is None else rewritten(t, put))
                 kinds.append(seen)
@@ -435,4 +559,5 @@ def replace(docs: DataFrame, key: str, count: str = "n_entities", listed: str =
 def op7_pii(spark, sf_dir) -> DataFrame:
     """doc_id, text with surrogates, n_entities and their kinds, of whole documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace(docs, choose_key(docs, configured_key(spark))).select("doc_id", "text", "n_entities", "entities")
+    key, moved = prepared(docs, configured_key(spark))
+    return replace(docs, key, moved=moved).select("doc_id", "text", "n_entities", "entities")

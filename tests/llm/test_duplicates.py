@@ -183,8 +183,6 @@ def test_exact_windows_are_never_missed(spark, tables):
     where = {}
     for i, w in words.items():
         for k in range(len(w) - 50):
-            if len({*w[k : k + 51]}) < substring_dedup.LEAST_DIFFERENT:
-                continue
             where.setdefault(" ".join(w[k : k + 51]), set()).add((i, k))
     found = {}
     for r in substring_dedup.repeated_passages(docs).collect():
@@ -209,6 +207,27 @@ def test_chains():
     assert best[0] == anchors[:3] and sorted(map(tuple, (c[0] for c in best[1:]))) == [(16, 300, 5), (300, 110, 5)]
 
 
+def test_a_chain_joins_what_is_near():
+    """A far chain that scores higher doesn't hide the near end."""
+    best = substring_dedup.chains([(0, 0, 200), (249, 249, 20), (275, 275, 20)])
+    assert [len(c) for c in best] == [1, 2] and best[1] == [(249, 249, 20), (275, 275, 20)]
+
+
+def test_chains_equal_all_predecessors():
+    rng = random.Random(4)
+    cost, most = substring_dedup.GAP_COST, substring_dedup.MOST_GAP
+    for _ in range(300):
+        anchors = sorted({(rng.randrange(300), rng.randrange(300), rng.randrange(5, 30)) for _ in range(rng.randrange(1, 40))})
+        score = []
+        for a, b, n in anchors:
+            gaps = [(score[j], a - aj - nj, b - bj - nj) for j, (aj, bj, nj) in enumerate(anchors[: len(score)]) if 0 <= a - aj - nj <= most and 0 <= b - bj - nj <= most]
+            score.append(n + max([s - cost * (p + q) for s, p, q in gaps if s > cost * (p + q)], default=0))
+        worth = lambda c: sum(n for _, _, n in c) - cost * sum(q[0] - p[0] - p[2] + q[1] - p[1] - p[2] for p, q in zip(c, c[1:], strict=False))
+        found = substring_dedup.chains(anchors)
+        assert abs(worth(found[0]) - max(score)) < 1e-9 and sorted(x for c in found for x in c) == anchors
+        assert all(max(q[0] - p[0] - p[2], q[1] - p[1] - p[2]) <= most for c in found for p, q in zip(c, c[1:], strict=False))
+
+
 def test_partial_holders_do_not_stand_between(spark):
     rng = random.Random(5)
     p = prose(rng, 60)

@@ -107,27 +107,86 @@ def _canonical(text):
     return seen
 
 
-def test_keys_are_changed_until_nothing_collides(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "ssn 123-45-6789 and 987-65-4321, mail a.b@c.de")], "doc_id bigint, text string")
-    bad = {"k/0": lambda kind, c: "111111111", "k/1": lambda kind, c: c, "k/2": lambda kind, c: "a.b@c.de" if kind == "email" else c[::-1]}
-    tried = []
-
-    def collisions(found, key):
-        tried.append(key)
-        table = [(r.kind, r.canonical, bad.get(key, pii.Keyed(key).surrogate)(r.kind, r.canonical)) for r in found.collect()]
-        same = [pii.unchanged(k, c, n) for k, c, n in table]
-        shared = [(k, n) for k, _, n in table]
-        return spark.createDataFrame([(k, n) for (k, n), u in zip(shared, same) if u or shared.count((k, n)) > 1], "kind string, surrogate string")
-
-    monkeypatch.setattr(pii, "collisions", collisions)
-    assert pii.choose_key(docs, "k") == "k/3" and tried == ["k/0", "k/1", "k/2", "k/3"]
-    bad |= {f"k/{i}": bad["k/1"] for i in range(pii.KEYS)}
-    with pytest.raises(ValueError, match="collide"):
-        pii.choose_key(docs, "k")
+def resolved(spark, entities, key="k/0"):
+    """{entity: surrogate} of a list of (kind, canonical), and the exceptions among them."""
+    found = spark.createDataFrame(entities, "kind string, canonical string")
+    moved = {(r.kind, r.canonical): r for r in pii.exceptions(found, key).collect()}
+    keyed = pii.Keyed(key)
+    return {e: moved[e].surrogate if e in moved else keyed.surrogate(*e) for e in entities}, moved
+
+
+def test_full_forms_get_longer(spark):
+    """All addresses of one letter: no surrogate of that form is free."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    full = [("email", f"{a}@{b}.io") for a in letters for b in letters]
+    full += [("email", f"{a}{d}@q.org") for a in "aeiou" for d in range(10)] + [("secret", f"{n:02d}") for n in range(100)] + [("secret", f"{n:03d}") for n in range(0, 1000, 2)]
+    got, moved = resolved(spark, full)
+    assert len({(k, s) for (k, _), s in got.items()}) == len(full)
+    assert not {(k, s) for (k, _), s in got.items()} & set(full)
+    assert not any(r.exhausted for r in moved.values()) and {r.widened for r in moved.values()} >= {1}
+    assert all(r.surrogate[-3:] == c[-3:] for (k, c), r in moved.items() if k == "email")
+
+
+def test_half_full_forms_walk_on(spark):
+    """Values further along the cycle are taken where they are free, so few get longer."""
+    some = [("secret", f"{n:04d}") for n in range(0, 10_000, 4)] + [("card", f"{n:04d}{pii.luhn(f'{n:04d}')}") for n in range(0, 10_000, 5)]
+    got, moved = resolved(spark, some)
+    given = {(k, s) for (k, _), s in got.items()}
+    assert len(given) == len(some) and not given & set(some)
+    assert 0 < sum(r.widened > 0 for r in moved.values()) < len(moved) / 2
+    assert all(s[-1] == str(pii.luhn(s[:-1])) for (k, _), s in got.items() if k == "card")
+
+
+@pytest.mark.parametrize("kind", ["email", "phone", "card", "ip", "ipv6", "ssn", "iban", "secret", "name"])
+def test_short_entities_of_every_kind_never_fail(spark, kind):
+    make = {
+        "email": lambda n: f"{n % 317}@{n // 317}.org", "phone": lambda n: f"{5550000 + n}", "card": lambda n: f"{n:05d}", "ip": lambda n: f"8.8.{n // 256}.{n % 256}", "ipv6": lambda n: f"{n:x}::1",
+        "ssn": lambda n: f"123{n:06d}", "iban": lambda n: f"DE{n % 97:02d}{n:05d}", "secret": lambda n: f"{n:05d}", "name": lambda n: f"n{n:05d}",
+    }[kind]
+    entities = sorted({(kind, make(n)) for n in range(20_000)})
+    got, moved = resolved(spark, entities)
+    assert len(set(got.values())) == len(entities) and not any(r.exhausted for r in moved.values())
+    if kind not in pii.SHARED:
+        assert not set(got.values()) & {c for _, c in entities}
+
+
+def test_exceptions_reach_the_texts(spark, monkeypatch, odd):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.createDataFrame([(i, f"{a}@{b}.io, {a.upper()}@{b}.IO; x") for i, (a, b) in enumerate((a, b) for a in letters for b in letters)], "doc_id bigint, text string").repartition(3)
+    key, moved = pii.prepared(docs, "k")
+    few = {r.doc_id: (r.text, r.n_entities, tuple(r.entities)) for r in pii.replace(docs, key, moved=moved).collect()}
+    old = {r.doc_id: r.text for r in docs.collect()}
+    first = {i: t[0].split(",")[0] for i, t in few.items()}
+    assert len(set(first.values())) == 676 and not set(first.values()) & {t.split(",")[0] for t in old.values()}
+    assert all(t[0].split(", ")[1].split(";")[0].lower() == first[i] for i, t in few.items())  # both spellings alike
+    monkeypatch.setattr(pii, "SHIPPED", 10)
+    assert {r.doc_id: (r.text, r.n_entities, tuple(r.entities)) for r in pii.replace(docs, key, moved=moved).collect()} == few
+    out = pii.replace(odd, key, moved=moved)
+    assert sorted(str(r.text) for r in out.collect()) == sorted(str(r.text) for r in odd.collect())
     with pytest.raises(ValueError, match="need a key"):
         pii.choose_key(docs, "")
 
 
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("2001:db8::1", "ipv6"), ("fe80::1ff:fe23:4567:890a", "ipv6"), ("2001:db8::", "ipv6"), ("06 12 34 56 78", "phone"), ("030 1234567", "phone"), ("0171-1234567", "phone"), ("01/23 45 67 89", "phone"),
+        ("jos@exämple.de", "email"), ("api key: abcdefgh1234", "secret"), ("PASSWORD=Hunter2Hunter2", "secret"), ("Token: abcdefgh1234", "secret"), ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "secret"),
+        ("xoxb-123456789012-abcdef", "secret"), ("JOHN SMITH", "name"), ("secret: 12345678", "secret"),
+    ],
+)
+def test_forms_that_leaked(keyed, text, kind):
+    new, seen = put(keyed, f"before {text}, after")
+    assert [k for k, _ in seen] == [kind] and text not in new and new.startswith("before ") and new.endswith(", after")
+    old = text.split(":")[-1].split("=")[-1].strip() if kind == "secret" else text
+    assert (kind == "name" or len(new) == len(f"before {text}, after")) and (not old.isdigit() or new.split()[-2].strip(",").isdigit())
+
+
+@pytest.mark.parametrize("text", ["std::vector a::b", "on 01.02.2024 and 2024-03-01", "at 10:30:00", "no. 012345678901", "0.123456789", "the secret of it: none", "1/02 34"])
+def test_what_is_none_of_these(keyed, text):
+    assert put(keyed, text) == (text, [])
+
+
 def test_collisions_of_each_kind(spark):
     """A permutation has none, so entities are given whose surrogates are known: another's value, and their own."""
     a = pii.Keyed("x").surrogate("card", "4111111111111111")
