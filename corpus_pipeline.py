@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pressmill.llm import decontamination, pii, quality_classifier, sentencepiece_codec, simhash
 from pressmill.llm._shared import fresh, numbered, written
+from pressmill.scratch import scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets by surrogates; n_chars follows the text."""
-    out = pii.replace(docs, pii.choose_key(docs, pii.configured_key(spark)), fresh("n_entities", docs), fresh("entities", docs)).select(docs.columns)
+    key, moved = pii.prepared(docs, pii.configured_key(spark))
+    out = pii.replace(docs, key, fresh("n_entities", docs), fresh("entities", docs), moved).select(docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
@@ -73,8 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope(spark) as keep:  # a stage's own tables go away with it
+            docs = keep(written(stage(spark, docs, sf_dir), "stage"))
+    return STAGES[-1][1](spark, docs, sf_dir)
