@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text, urls
 from ..operators import health, moderation, quality, upsert, verification
 from ..sources.tables import next_number, read
+from ..streaming import ratelimit
 from . import ingest, read_api
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,13 +433,37 @@ def check_tally(s, d):
     return health.tally(read(s, d, "events").select(health.checked(kind == "view", kind.isin("click", "signup")).alias("state")))
 
 
-@_query("SELECT user_id, minute, n FROM (SELECT user_id, date_trunc('hour', ts) AS minute, count(*) AS n FROM events GROUP BY ALL) WHERE n > 1")
+@_query("SELECT user_id, hour, n FROM (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL) WHERE n > 1")
 def fixed_window_rate(s, d):
-    """Tumbling windows: an approximation of the limiter, whose windows open with a client's first request."""
-    n = read(s, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n"))
+    """Requests by whole hours, of clients with more than one. The limiter's own windows are in rate_limit_log."""
+    n = read(s, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
     return n.where("n > 1")
 
 
+@_query("""
+WITH RECURSIVE r AS (
+  SELECT event_id, user_id, event_type = 'signup' AS registers, ts, row_number() OVER (PARTITION BY user_id, event_type = 'signup' ORDER BY ts, event_id) AS n,
+         CASE WHEN event_type = 'signup' THEN 2 ELSE 3 END AS most, CASE WHEN event_type = 'signup' THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END AS long
+  FROM events
+), w AS (
+  SELECT event_id, user_id, registers, n, ts AS opened, 1 AS nth, most FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.event_id, r.user_id, r.registers, r.n, CASE WHEN r.ts >= w.opened + r.long THEN r.ts ELSE w.opened END, CASE WHEN r.ts >= w.opened + r.long THEN 1 ELSE w.nth + 1 END, r.most
+  FROM w JOIN r ON r.user_id = w.user_id AND r.registers = w.registers AND r.n = w.n + 1
+)
+SELECT event_id, user_id, registers, opened, CAST(nth AS BIGINT) AS nth, CASE WHEN nth <= most THEN 200 ELSE 429 END AS status FROM w
+""")
+def rate_limit_log(s, d):
+    """Which requests of a log the limiter lets through: two limits, one for registrations, with windows that open with a client's first request."""
+    registers = F.col("event_type") == "signup"
+    rows = read(s, d, "events").select(
+        F.struct("user_id", registers.alias("registers")).alias("client"), F.col("ts").cast("timestamp").alias("at"), "event_id",
+        F.when(registers, 2).otherwise(3).alias("most"), F.when(registers, 7 * 86400).otherwise(86400).alias("seconds"),
+    )
+    found = ratelimit.log_limited(rows, ["event_id"])
+    return found.select("event_id", "client.user_id", "client.registers", F.col("opened").cast("timestamp_ntz").alias("opened"), "nth", "status")
+
+
 @_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AND CAST(json_extract(props, '$.k') AS BIGINT) > 50 AS large FROM events")
 def json_props(s, d):
     k = F.from_json("props", "k bigint")["k"]

@@ -1,10 +1,12 @@
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from pressmill.streaming.poll import poll
-from pressmill.streaming.ratelimit import limited
+from pressmill.operators import runs
+from pressmill.streaming.ratelimit import limited, log_limited
 
 
 def feed(*titles):
@@ -64,3 +66,42 @@ def test_rate_limit(spark, tmp_path):
     a = [r.status for r in got if r.client == "a"]
     assert a == [200] * 100 + [429, 200]
     assert [r.status for r in got if r.client == "b"] == [200]
+
+
+def plain_windows(times, most, seconds):
+    opened, out = None, []
+    for t in sorted(times):
+        if opened is None or t - opened >= seconds:
+            opened, n = t, 0
+        n += 1
+        out.append((t, opened, n, 200 if n <= most else 429))
+    return out
+
+
+def test_a_log_has_the_streams_windows(spark, tmp_path, monkeypatch):
+    """One client has most of the requests, and its log is cut into many blocks; some come at one instant."""
+    rng = random.Random(9)
+    start = pd.Timestamp("2024-01-01")
+    times = {"hot": [rng.randrange(20_000) for _ in range(1500)] + [77] * 20 + [77 + 60], "b": [0, 59, 60, 60, 61, 119, 120], "c": [5], None: [1, 2, 3, 100]}
+    rows = [(c, start + pd.Timedelta(seconds=t), i) for c, ts in times.items() for i, t in enumerate(ts)]
+    log = spark.createDataFrame(pd.DataFrame(rows, columns=["client", "at", "n"])).withColumns({"most": F.lit(3), "seconds": F.lit(60)}).repartition(3)
+    want = sorted(((c, *x) for c, ts in times.items() for x in plain_windows(ts, 3, 60)), key=str)
+    second = lambda t: int((t - start.to_pydatetime()).total_seconds())
+    for block in (runs.BLOCK, 64):
+        monkeypatch.setattr(runs, "BLOCK", block)
+        got = log_limited(log, ["n"]).collect()
+        assert sorted(((r.client, second(r["at"]), second(r.opened), r.nth, r.status) for r in got), key=str) == want
+    assert log_limited(log.where("false"), ["n"]).count() == 0
+    log.where("client IS NOT NULL").select("client", "at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("client string, at timestamp").parquet(str(tmp_path / "in"))
+    query = limited(stream, 3, 60).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    assert query.awaitTermination(120)
+    streamed = sorted((r.client, r["at"], r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert streamed == sorted((r.client, r["at"], r.status) for r in got if r.client)
+
+
+def test_the_hundred_and_first_request(spark):
+    start = pd.Timestamp("2024-01-01")
+    rows = [("a", start + pd.Timedelta(milliseconds=100 * i), i) for i in range(101)] + [("a", start + pd.Timedelta(seconds=60), 101)]
+    log = spark.createDataFrame(pd.DataFrame(rows, columns=["client", "at", "n"])).withColumns({"most": F.lit(100), "seconds": F.lit(60)})
+    assert [r.status for r in log_limited(log, ["n"]).orderBy("at").collect()] == [200] * 100 + [429, 200]
