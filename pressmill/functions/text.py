@@ -68,7 +68,7 @@ def category_texts(categories: Column) -> Column:
     return F.transform(categories, lambda c: F.coalesce(c["_VALUE"], F.lit("")))
 
 
-def _once(value: Column, use) -> Column:
+def once(value: Column, use) -> Column:
     """use(value), the value computed once however often it is used: as the argument of a function over an array of one."""
     return F.transform(F.array(value), use)[0]
 
@@ -84,15 +84,23 @@ def categorize(texts: Column, headline: Column, keywords: dict[str, list[str]] |
             out = F.when(has, category) if out is None else out.when(has, category)
         return out.otherwise(OTHER)
 
-    return _once(F.lower(joined), first)
+    return once(F.lower(joined), first)
+
+
+def first_units(text: Column, most: int) -> Column:
+    """The first UTF-16 code units of a text, as scripts of browsers count and cut: a character beyond U+FFFF has two, and half of one is U+FFFD."""
+    units = F.encode(F.substring(text, 1, most), "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * most - 1, 1)).between("D8", "DB")
+    cut = F.when(half, F.concat(F.decode(F.substring(units, 1, 2 * most - 2), "UTF-16BE"), F.lit("\ufffd"))).otherwise(F.decode(F.substring(units, 1, 2 * most), "UTF-16BE"))
+    return F.when(F.octet_length(units) <= 2 * most, F.substring(text, 1, most)).otherwise(cut)
 
 
 def summary(snippet: Column, text: Column, most: int = 1000) -> Column:
-    return F.substring(F.coalesce(filled(snippet, text), F.lit("")), 1, most)
+    return first_units(F.coalesce(filled(snippet, text), F.lit("")), most)
 
 
 def error_status(message: Column, most: int = 250) -> Column:
-    return F.substring(F.concat(F.lit("error: "), message), 1, most)
+    return first_units(F.concat(F.lit("error: "), message), most)
 
 
 def json_string(value: Column) -> Column:
@@ -161,7 +169,7 @@ def risk(change: Column) -> Column:
         high, low, medium = (text.rlike("|".join(p)) for p in (HIGH_RISK, LOW_RISK, MEDIUM_RISK))
         return F.when(high & ~low, "HIGH").when(low & ~medium, "LOW").otherwise("MEDIUM")
 
-    return _once(F.lower(change), told)
+    return once(F.lower(change), told)
 
 
 def occurrences(text: Column, literal: str) -> Column:

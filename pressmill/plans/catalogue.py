@@ -205,6 +205,33 @@ def summary_truncate(s, d):
 _LATEST = "(SELECT max(ts) FROM events)"
 
 
+_DATES = [  # a form, what follows it, what it keeps of an instant, and hours from UTC
+    ("EEE, d MMM yy HH:mm", " EST", "minute", -5), ("dd MMMM yyyy HH:mm:ss", " GMT", "second", 0), ("EEE,dd MMM yyyy HH:mm:ss", " +0230", "second", 2.5), ("MMM d, yyyy HH:mm", "", "minute", 0), ("yyyy/MM/dd", "", "day", 0),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "", "millisecond", 0), ("M/d/yy h:mm a", "", "minute", 0), ("d-MMM-yyyy", "", "day", 0), ("EEE MMM dd yyyy HH:mm:ss", " GMT-0400 (Somewhere)", "second", -4), ("'no date'", "", None, 0),
+]
+
+
+@_query("SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {i} THEN " + (f"CAST(date_trunc('{keeps}', ts) AS TIMESTAMP) - to_minutes({round(60 * away)})" if keeps else "NULL") for i, (_, _, keeps, away) in enumerate(_DATES)) + " END AS published_at FROM events")
+def parse_dates(s, d):
+    """Instants written in the forms that feeds carry, and read again."""
+    e = read(s, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    text_of = F.coalesce(*[F.when(F.col("event_id") % 10 == i, F.concat(F.date_format("at", form), F.lit(more))) for i, (form, more, _, _) in enumerate(_DATES)])
+    return e.select("event_id", dates.parse_date(text_of).cast("timestamp_ntz").alias("published_at"))
+
+
+@_query("""
+WITH t AS (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), 'a', '😀'), 'e', '𝄞'), '') AS w FROM documents),
+c AS (SELECT doc_id, i, w[i] AS ch FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 1000) + 1)) AS i FROM t)),
+u AS (SELECT doc_id, i, ch, sum(CASE WHEN unicode(ch) > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS upto, CASE WHEN unicode(ch) > 65535 THEN 2 ELSE 1 END AS size FROM c)
+SELECT doc_id, coalesce(string_agg(CASE WHEN upto <= 1000 THEN ch ELSE chr(65533) END, '' ORDER BY i) FILTER (upto - size < 1000), '') AS summary
+FROM t LEFT JOIN u USING (doc_id) GROUP BY doc_id
+""")
+def summary_utf16(s, d):
+    """Summaries of texts with characters beyond U+FFFF, some of them on the cut."""
+    astral = F.replace(F.replace("text", F.lit("a"), F.lit("😀")), F.lit("e"), F.lit("𝄞"))
+    return read(s, d, "documents").select("doc_id", text.summary(astral, F.lit(None).cast("string")).alias("summary"))
+
+
 @_query(f"SELECT event_id, ts FROM events WHERE ts IS NULL OR ts >= {_LATEST} - INTERVAL 14 DAY")
 def fresh_filter(s, d):
     e = read(s, d, "events").select("event_id", "ts")

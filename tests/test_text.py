@@ -136,3 +136,38 @@ def test_announced_links(spark):
 def test_absolute(spark):
     df = spark.createDataFrame([("https://a.org/b/", "c"), ("https://a.org/b", "/c"), ("nothing", "/c"), (None, "/c"), ("https://a.org", None)], "b string, p string")
     assert [r[0] for r in df.select(urls.absolute("b", "p")).collect()] == ["https://a.org/b/c", "https://a.org/c", None, None, None]
+
+
+#: What browsers' scripts make of them, in a session of UTC.
+DATES = [
+    ('Wed, 2 Oct 02 13:00 EST', '2002-10-02 18:00:00'), ('01 March 2024 10:00:00 GMT', '2024-03-01 10:00:00'), ('Fri,01 Mar 2024 10:00:00 GMT', '2024-03-01 10:00:00'),
+    ('Mar 1, 2024 10:00', '2024-03-01 10:00:00'), ('2024/03/01', '2024-03-01 00:00:00'), ('2024-03-01', '2024-03-01 00:00:00'),
+    ('2024-03-01T10:00:00Z', '2024-03-01 10:00:00'), ('2024-03-01T10:00:00.123Z', '2024-03-01 10:00:00.123'), ('2024-03-01T10:00:00.123456+02:00', '2024-03-01 08:00:00.123'),
+    ('2024-03-01T10:00+0530', '2024-03-01 04:30:00'), ('2024-03-01 10:00:00', '2024-03-01 10:00:00'), ('Fri, 01 Mar 2024 10:00:00 +0100', '2024-03-01 09:00:00'),
+    ('Fri Mar 01 2024 10:00:00 GMT+0100 (Central European Standard Time)', '2024-03-01 09:00:00'), ('3/1/2024', '2024-03-01 00:00:00'), ('3/1/24 1:05 PM', '2024-03-01 13:05:00'),
+    ('12:30 am 1 Mar 2024', '2024-03-01 00:30:00'), ('1-Mar-2024', '2024-03-01 00:00:00'), ('March 2024', '2024-03-01 00:00:00'),
+    ('Mar 1', '2001-03-01 00:00:00'), ('2024', '2024-01-01 00:00:00'), ('2024-03', '2024-03-01 00:00:00'),
+    ('Feb 30 2024', '2024-03-01 00:00:00'), ('2 Oct 99', '1999-10-02 00:00:00'), ('Mon, 06 May 2024 08:00:00 PDT', '2024-05-06 15:00:00'),
+    ('Thursday, March 7, 2024 - 14:05', '2024-03-07 14:05:00'), ('2024-03-01T24:00:00Z', '2024-03-02 00:00:00'), ('Sat, 2 Mar 2024 10:00:00 UT', '2024-03-02 10:00:00'),
+    ('1.3.2024', '2024-01-03 00:00:00'), ('2024-03-01T10:00:00-05:00', '2024-03-01 15:00:00'), ('2024-03-01T10:00:00 -0500', '2024-03-01 15:00:00'),
+    ('Fri, 1 Mar 2024 10:00:00 GMT-5', '2024-03-01 15:00:00'), ('not-a-real-date', None), ('', None),
+    ('yesterday', None), ('13/13/2024', None), ('2024-13-01', None),
+    ('Mar 32 2024', None), ('10:00', None), ('1 Mar 2024 25:00', None),
+    ('1 Mar 2024 10:61', None), ('1 März 2024 foo', None), ('1709287200', None),
+    ('20240301', None), ('1 2 3 4', None), ('1 Mar 2024 10:00 hello', None),
+    ('13:00 PM 1 Mar 2024', None), ('   ', None), (None, None),
+]
+
+
+def test_dates_as_scripts_read_them(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(DATES)], "i int, t string")
+    got = {r.i: r.at and str(r["at"]) for r in df.select("i", dates.parse_date(F.col("t")).alias("at")).collect()}
+    assert [(t, got[i] and got[i].removesuffix("000") if "." in (got[i] or "") else got[i]) for i, (t, _) in enumerate(DATES)] == DATES
+
+
+@pytest.mark.parametrize(
+    ("given", "most", "cut"),
+    [("😀" * 600, 1000, "😀" * 500), ("a" + "😀" * 600, 1000, "a" + "😀" * 499 + "\ufffd"), ("é" * 1001, 1000, "é" * 1000), ("😀", 1, "\ufffd"), ("😀", 2, "😀"), ("ab", 5, "ab"), ("", 3, ""), (None, 3, None), ("日本😀語", 4, "日本😀"), ("日本😀語", 3, "日本\ufffd")],
+)
+def test_code_units(spark, given, most, cut):
+    assert one(spark, given, lambda v: text.first_units(v, most)) == cut
