@@ -15,17 +15,16 @@ DIRECT, ANNOUNCED, COMMON, SITEMAP = range(4)
 def candidates(submissions: DataFrame, homepages: DataFrame) -> DataFrame:
     """(id, stage, place, url, kind) in the order in which they are tried. homepages: url, body."""
     s = submissions.select("id", "feed_url", "homepage_url")
-    direct = s.select("id", F.lit(DIRECT).alias("stage"), F.lit(0).alias("place"), F.col("feed_url").alias("url"), F.lit("rss").alias("kind"))
+    given = lambda stage, kind: [F.lit(stage).alias("stage"), "place", "homepage_url", "path", F.lit(kind).alias("kind")]
     links = s.join(homepages.select(F.col("url").alias("homepage_url"), announced_links(F.col("body")).alias("links")), "homepage_url")
-    announced = links.select("id", "homepage_url", F.posexplode("links").alias("place", "path")).select(
-        "id", F.lit(ANNOUNCED).alias("stage"), "place", absolute("homepage_url", "path").alias("url"), F.lit("rss").alias("kind")
-    )
+    announced = links.select("id", "homepage_url", F.posexplode("links").alias("place", "path")).select("id", *given(ANNOUNCED, "rss"))
 
     def guesses(paths: list[str], stage: int, kind: str) -> DataFrame:
-        each = s.select("id", "homepage_url", F.posexplode(F.array(*map(F.lit, paths))).alias("place", "path"))
-        return each.select("id", F.lit(stage).alias("stage"), "place", absolute("homepage_url", "path").alias("url"), F.lit(kind).alias("kind"))
+        return s.select("id", "homepage_url", F.posexplode(F.array(*map(F.lit, paths))).alias("place", "path")).select("id", *given(stage, kind))
 
-    all_of_them = direct.unionAll(announced).unionAll(guesses(FEED_PATHS, COMMON, "rss")).unionAll(guesses(SITEMAP_PATHS, SITEMAP, "sitemap-news"))
+    seen = announced.unionAll(guesses(FEED_PATHS, COMMON, "rss")).unionAll(guesses(SITEMAP_PATHS, SITEMAP, "sitemap-news"))
+    direct = s.select("id", F.lit(DIRECT).alias("stage"), F.lit(0).alias("place"), F.col("feed_url").alias("url"), F.lit("rss").alias("kind"))
+    all_of_them = direct.unionAll(seen.select("id", "stage", "place", absolute("homepage_url", "path").alias("url"), "kind"))
     return all_of_them.where(F.col("url").isNotNull())
 
 

@@ -232,6 +232,24 @@ def summary_utf16(s, d):
     return read(s, d, "documents").select("doc_id", text.summary(astral, F.lit(None).cast("string")).alias("summary"))
 
 
+_LINKS = ["/feed", "feed.xml", "../feed", "?feed=rss2", "#é", "//B.Example:443\\x y", "", " a/./b/../c\n", "HTTP://É.org:80/%7e", "https://a.org:99999/"]
+
+
+@_query(r"""
+WITH u AS (
+  SELECT page_id, regexp_extract(url, '^(https?)', 1) AS scheme, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), ''), '/') AS path,
+         regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS q FROM pages
+), f AS (SELECT *, regexp_extract(path, '^(.*/)', 1) AS folder FROM u)
+SELECT page_id, CASE page_id % 10
+  WHEN 0 THEN site || '/feed' WHEN 1 THEN site || folder || 'feed.xml' WHEN 2 THEN site || regexp_replace(folder, '[^/]+/$', '') || 'feed' WHEN 3 THEN site || path || '?feed=rss2' WHEN 4 THEN site || path || q || '#%C3%A9'
+  WHEN 5 THEN scheme || '://b.example' || CASE scheme WHEN 'http' THEN ':443' ELSE '' END || '/x%20y' WHEN 6 THEN site || path || q WHEN 7 THEN site || folder || 'a/c' WHEN 8 THEN 'http://xn--9ca.org/%7e' END AS url FROM f
+""")
+def resolve_urls(s, d):
+    """Links of pages as seen from the pages' addresses."""
+    link = F.get(F.array(*map(F.lit, _LINKS)), F.col("page_id").cast("int") % 10)
+    return read(s, d, "pages").select("page_id", urls.absolute(F.col("url"), link).alias("url"))
+
+
 @_query(f"SELECT event_id, ts FROM events WHERE ts IS NULL OR ts >= {_LATEST} - INTERVAL 14 DAY")
 def fresh_filter(s, d):
     e = read(s, d, "events").select("event_id", "ts")

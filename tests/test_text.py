@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,38 @@ def test_dates_as_scripts_read_them(spark):
 )
 def test_code_units(spark, given, most, cut):
     assert one(spark, given, lambda v: text.first_units(v, most)) == cut
+
+
+BASE = 'https://a.org/x/y/z?q=1#f'
+#: What the URL standard makes of a path as seen from a base.
+URLS = [
+    (BASE, '/feed', 'https://a.org/feed'), (BASE, 'feed', 'https://a.org/x/y/feed'), (BASE, '../feed', 'https://a.org/x/feed'),
+    (BASE, './feed/.', 'https://a.org/x/y/feed/'), (BASE, '../../../../feed/..', 'https://a.org/'), (BASE, '?feed=rss2', 'https://a.org/x/y/z?feed=rss2'),
+    (BASE, '#top', 'https://a.org/x/y/z?q=1#top'), (BASE, '', 'https://a.org/x/y/z?q=1'), (BASE, '//B.org/p', 'https://b.org/p'),
+    (BASE, '\\\\b.org\\p', 'https://b.org/p'), (BASE, '\\p\\q', 'https://a.org/p/q'), (BASE, ' /feed \n', 'https://a.org/feed'),
+    (BASE, '/a b', 'https://a.org/a%20b'), (BASE, '/é?é="\'#é`', 'https://a.org/%C3%A9?%C3%A9=%22%27#%C3%A9%60'), (BASE, '/%7e/%2E%2e/x', 'https://a.org/x'),
+    (BASE, 'http://A.org:80/', 'http://a.org/'), (BASE, 'HTTPS://A.org:443', 'https://a.org/'), (BASE, 'https:feed', 'https://a.org/x/y/feed'),
+    (BASE, 'https:/feed', 'https://a.org/feed'), (BASE, 'http:feed', 'http://feed/'), (BASE, 'http:////b.org//p', 'http://b.org//p'),
+    (BASE, 'https://a.org:8443/f', 'https://a.org:8443/f'), (BASE, 'https://a.org:0443/f', 'https://a.org/f'), (BASE, 'https://a.org:70000/f', None),
+    (BASE, 'https://a.org:x/f', None), (BASE, 'mailto:x@y.org', 'mailto:x@y.org'), (BASE, 'https://é.org/', 'https://xn--9ca.org/'),
+    (BASE, 'https://bücher.例え.テスト/', 'https://xn--bcher-kva.xn--r8jz45g.xn--zckzah/'), (BASE, 'https://Ünïcödé-test.org', 'https://xn--ncd-test-d1a1d7d6c.org/'), (BASE, 'https://u:p w@b.org/', 'https://u:p%20w@b.org/'),
+    (BASE, 'https://%61.org/', 'https://a.org/'), (BASE, 'https://a b.org/', None), (BASE, 'https:///', None),
+    (BASE, 'https://127.0.0.1:443/x', 'https://127.0.0.1/x'), (BASE, 'https://[2001:DB8::1]/x', 'https://[2001:db8::1]/x'), ('https://a.org', 'feed', 'https://a.org/feed'),
+    ('A.org', 'feed', None), ('mailto:x', 'feed', None), (None, 'feed', None),
+    (BASE, None, None), ('https://A.org:443\\x\\y', 'z', 'https://a.org/x/z'), (' https://a.org/ ', '\tfe\ned', 'https://a.org/feed'),
+    ('https://é.org/é', 'x', 'https://xn--9ca.org/x'), ('https://中文.org/', '/', 'https://xn--fiq228c.org/'), ('https://ñandú-ÑÁ.org', '/', 'https://xn--and--8na5ge4e.org/'),
+]
+
+
+def test_urls_as_the_standard_resolves_them(spark):
+    df = spark.createDataFrame([(i, b, p) for i, (b, p, _) in enumerate(URLS)], "i int, b string, p string")
+    got = {r.i: r.u for r in df.select("i", urls.absolute(F.col("b"), F.col("p")).alias("u")).collect()}
+    assert [(b, p, got[i]) for i, (b, p, _) in enumerate(URLS)] == URLS
+    assert "Python" not in df.select(urls.absolute(F.col("b"), F.col("p")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_punycode(spark):
+    rng = random.Random(1)
+    labels = {"".join(rng.choice("abcz-09éüñøßжщ中文日本語😀ก한") for _ in range(rng.randrange(1, 20))) for _ in range(200)}
+    df = spark.createDataFrame([(x,) for x in sorted(labels) if not x.isascii()], "x string")
+    assert all(r.p == r.x.encode("punycode").decode() for r in df.select("x", urls.punycode(F.col("x")).alias("p")).collect())
