@@ -185,7 +185,7 @@ def fetch(url: str, etag: str | None = None, last_modified: str | None = None, s
 class FeedSource(DataSource):
     """spark.read.format("feeds"): one row for each feed of the option `feeds` (JSON), fetched by `slots` slots in `tasks` tasks.
 
-    As a stream (spark.readStream.format("feeds")) see streaming.feed_stream.
+    As a stream (spark.readStream.format("feeds")) see feed_stream.
     """
 
     @classmethod
@@ -197,3 +197,8 @@ class FeedSource(DataSource):
 
     def reader(self, schema):
         return _Reader(self.options)
+
+    def streamReader(self, schema):  # noqa: N802
+        from .feed_stream import FeedStream
+
+        return FeedStream(self.options)
