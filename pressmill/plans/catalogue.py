@@ -9,6 +9,7 @@ addresses and homepages.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from ..functions import dates, text, urls
 from ..operators import health, moderation, quality, upsert, verification
 from ..sources.tables import next_number, read
 from ..streaming import ratelimit
-from . import ingest, read_api
+from ..scratch import new_path
+from . import ingest, pages, read_api
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,6 +110,18 @@ def country_articles_page2(s, d):
     return _page(s, d, limit="12abc", offset="30")
 
 
+_OFFSETS = [0, 45, 300, 5400]
+
+
+@_query(f"WITH {_ARTICLES}, o AS (SELECT *, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) - 1 AS place FROM articles WHERE country_id = 3) SELECT page, id, category, published_at FROM o JOIN (SELECT unnest({_OFFSETS}) AS page) ON place >= page AND place < page + 30")
+def deep_pages(s, d):
+    """Pages of a country's articles, the first and far ones, by an index of the order."""
+    path = new_path(s, "pages")
+    pages.build(_articles(s, d).select("id", "country_id", "category", "published_at"), path)
+    found = [pages.page(s, path, 3, offset=offset).select(F.lit(offset).alias("page"), "id", "category", "published_at") for offset in _OFFSETS]
+    return reduce(DataFrame.unionAll, found)
+
+
 @_query("SELECT o_orderkey AS id, o_custkey AS publisher_id, c_name AS publisher_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = 1234")
 def article_by_id(s, d):
     return read_api.article(_articles(s, d), _publishers(s, d), 1234).select("id", "publisher_id", "publisher_name", "o_totalprice")
