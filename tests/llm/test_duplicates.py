@@ -329,7 +329,8 @@ def test_hot_seed_over_ranges(spark, monkeypatch):
 def test_long_text(spark, long_text):
     rows = [(1, long_text), (2, "before " + long_text + " after"), (3, "x " * 100_000), (4, "x " * 90_000), (5, "y" * 1_000_000)]
     got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got.keys() == {1, 2} and got[1].n_words == 120_000  # one word on and on is no passage
+    assert got.keys() == {1, 2, 3, 4} and got[1].n_words == 120_000
+    assert got[3].n_different == got[4].n_different == 1 and got[3].n_words >= 90_000 == got[4].n_words  # one word on and on is told as such
 
 
 def test_words_that_go_on(spark, monkeypatch):
