@@ -13,6 +13,9 @@ SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\
 #: The same without the space.
 ODD_SPACE = SPACE.replace("r ", "r")
 
+#: What follows the ampersand of a named or numeric reference.
+REFERENCE = r"(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);"
+
 #: The categories in order of priority, with the parts of words that tell them.
 KEYWORDS = {
     "politics": ["politiqu", "election", "president", "government", "parliament", "minister"],
@@ -60,7 +63,7 @@ def dedup_hash(publisher: Column, headline: Column) -> Column:
 
 def escape_ampersands(xml: Column) -> Column:
     """& as &amp;, but where it begins a named or numeric reference."""
-    return F.regexp_replace(xml, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")
+    return F.regexp_replace(xml, f"&(?!{REFERENCE})", "&amp;")
 
 
 def category_texts(categories: Column) -> Column:

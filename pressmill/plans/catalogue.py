@@ -681,11 +681,15 @@ def feed_documents(s, d):
     from ..sources.feeds import feed_items
 
     p = read(s, d, "pages")
-    title, kind = F.regexp_extract("html", "<title>(.*?)</title>", 1), F.col("page_id") % 4
-    link = F.replace("url", F.lit("&"), F.lit("&amp;"))
-    rss = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), "url", F.lit("</link></item></channel></rss>"))  # with bare ampersands
-    atom = F.concat(F.lit("<feed><entry><title>"), title, F.lit('</title><link href="'), link, F.lit('"/></entry></feed>'))
-    news = F.concat(F.lit("<urlset><url><loc>"), link, F.lit("</loc><news:news><news:title>"), title, F.lit("</news:title></news:news></url></urlset>"))
+    title, kind = F.replace(F.regexp_extract("html", r"<title>([^\n]*?)</title>", 1), F.lit("&amp;"), F.lit("&")), F.col("page_id") % 4
+    marked = lambda t: reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), [("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")], t)
+    strict = lambda t: marked(F.replace(t, F.lit("&"), F.lit("&amp;")))
+    # ampersands stay bare, but where that would make a reference of what is none
+    bare = lambda t: marked(F.regexp_replace(t, f"&(?={text.REFERENCE})", "&amp;"))
+    link = strict(F.col("url"))
+    rss = F.concat(F.lit("<rss><channel><item><title>"), bare(title), F.lit("</title><link>"), bare(F.col("url")), F.lit("</link></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><entry><title>"), strict(title), F.lit('</title><link href="'), link, F.lit('"/></entry></feed>'))
+    news = F.concat(F.lit("<urlset><url><loc>"), link, F.lit("</loc><news:news><news:title>"), strict(title), F.lit("</news:title></news:news></url></urlset>"))
     body = F.when(kind == 0, rss).when(kind == 1, atom).when(kind == 2, news).otherwise(F.replace(rss, F.lit("</channel></rss>"), F.lit("")))
     docs = p.select(F.col("page_id").alias("id"), (F.col("page_id") % 9).alias("publisher_id"), F.lit(1).alias("country_id"), F.when(kind == 2, "sitemap-news").otherwise("rss").alias("feed_type"), body.alias("body"))
     rows = ingest.article_rows(ingest.items_of(feed_items(docs)), F.lit("2024-01-01").cast("timestamp"))
