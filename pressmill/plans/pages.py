@@ -1,7 +1,8 @@
 """Deep pages: an index of articles in the order of their pages, with counts, so that an offset is looked up and not walked to.
 
 Articles lie in ranges of the order (country, the latest first, those without a date
-last, ties by id), each a folder of about `RANGE_BYTES`. Beside them is a table of how
+last, ties by id), each a folder of about `RANGE_BYTES` (where there are few articles, less, down to
+`LEAST_BYTES`, for all cores to sort). Beside them is a table of how
 many articles of each country and category each range has. A page adds the counts up to
 where its offset falls and reads the one or two ranges it touches.
 """
@@ -11,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import dropped, written
 from .read_api import page_limit, page_offset
 
-RANGE_BYTES = 32 << 20
+RANGE_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
 
 
 def _latest() -> list:
@@ -22,13 +24,16 @@ def _latest() -> list:
 
 def build(articles: DataFrame, path: str, ranges: int | None = None) -> None:
     """Writes the index of articles (id, country_id, category, published_at, ...) to a folder."""
+    # what a plan takes a join's size for is the product of its sides' sizes; files have a size, and are read twice here
+    articles = written(articles, "articles")
     if ranges is None:
         size = int(str(articles._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         usual = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(usual, -(-size // RANGE_BYTES)) if size < 1 << 60 else usual
+        ranges = max(1, min(usual, -(-size // LEAST_BYTES)), -(-size // RANGE_BYTES))
     order = [F.col("country_id"), *_latest()]
     dealt = articles.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
     dealt.sortWithinPartitions("range", *order).write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
+    dropped(articles)
     rows = articles.sparkSession.read.schema(dealt.schema).parquet(f"{path}/rows")
     rows.groupBy("country_id", "category", "range").agg(F.count("*").alias("n")).repartition("country_id").sortWithinPartitions("country_id", "range").write.mode("overwrite").parquet(f"{path}/counts")
 

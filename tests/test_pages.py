@@ -39,3 +39,15 @@ def test_a_deep_page_reads_its_own_range(spark, index):
     assert 1 <= len(folders) <= 2 and "rangepartitioning" not in plan and "TakeOrderedAndProject" in plan
     assert [r.id for r in df.collect()] == want[-40:-20]
     assert len(pages.touched(spark, path, 1, None, 0, 100)) <= 2
+
+
+def test_ranges_follow_the_articles_themselves(spark, tmp_path):
+    """A join's estimated size is the product of its sides'; there are as many ranges as its rows need."""
+    many = spark.range(2000).select(F.col("id"), (F.col("id") % 5).alias("p"), F.sha2(F.col("id").cast("string"), 256).alias("category"), F.timestamp_seconds("id").alias("published_at"))
+    many.write.parquet(str(tmp_path / "articles"))
+    spark.range(2000).select(F.col("id").alias("p"), F.sha2(F.col("id").cast("string"), 256).alias("x"), (F.col("id") % 3).alias("country_id")).write.parquet(str(tmp_path / "publishers"))
+    joined = spark.read.parquet(str(tmp_path / "articles")).join(spark.read.parquet(str(tmp_path / "publishers")), "p").drop("p")
+    path = str(tmp_path / "pages")
+    pages.build(joined, path)
+    assert 1 <= len(list((tmp_path / "pages" / "rows").glob("range=*"))) <= 4
+    assert [r.id for r in pages.page(spark, path, 1, limit=3, offset=200).collect()] == [1499, 1496, 1494]
