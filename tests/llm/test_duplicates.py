@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -365,3 +366,20 @@ def test_exact_within_less_alike():
             assert any(a <= margin and b >= margin + size and a == c and b == d and alike >= 0.8 for a, b, c, d, alike in got), (margin, size, got)
     gap = substring_dedup._pairs(np.array([1, 2, 3, 4, 9, 5]), np.array([1, 7, 3, 8, 4, 5]))
     assert gap == [(0, 0), (2, 2), (3, 4), (5, 5)]
+
+
+@pytest.mark.parametrize("rate", [0.07, 0.1])
+def test_many_copies_edited_each_on_its_own(spark, rate):
+    """All seeds are frequent, and no two texts go on alike: links of all pairs, not of neighbours only."""
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    docs = []
+    for i in range(100):
+        changed = [w for w in passage for w in ([w] if rng.random() > rate else rng.choice([[], ["new"], [w, "more"]]))]
+        docs.append((i, " ".join(prose(rng, 30) + changed + prose(rng, 30))))
+    true = plain_pairs(docs)
+    rows = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    pairs = {(r.doc_id, p) for r in rows for p in r.partners if r.doc_id < p}
+    who = {x for p in true for x in p}
+    counts = len(who), len({r.doc_id for r in rows}), len(true), len(pairs & true)
+    assert counts[1] >= 0.95 * counts[0] and counts[3] >= 0.85 * counts[2], counts
