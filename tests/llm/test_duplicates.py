@@ -383,3 +383,47 @@ def test_many_copies_edited_each_on_its_own(spark, rate):
     who = {x for p in true for x in p}
     counts = len(who), len({r.doc_id for r in rows}), len(true), len(pairs & true)
     assert counts[1] >= 0.95 * counts[0] and counts[3] >= 0.85 * counts[2], counts
+
+
+def test_runs_of_links_are_told_by_their_ends(spark, monkeypatch):
+    """Long texts that are edited here and there: a run of seeds that two share is two links, and gives what all its links give."""
+    rng = random.Random(22)
+    passage = prose(rng, 300)
+    docs = []
+    for i in range(40):
+        words = list(passage)
+        for at in rng.sample(range(300), 2):
+            words[at] = f"edit{i}"
+        docs.append((i, words))
+    plain, counts = substring_dedup.written, {}
+
+    def noted(df, tag):
+        out = plain(df, tag)
+        counts[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", noted)
+    got, few = spans(spark, docs), counts["pairs"]
+    monkeypatch.setattr(substring_dedup, "along", lambda key, doc, place, way: (np.zeros(len(key), np.uint64),) * 2)
+    assert spans(spark, docs) == got and got.keys() == set(range(40))
+    assert 0 < few < counts["pairs"] / 2, (few, counts["pairs"])
+
+
+def test_whole_runs():
+    begins, ends = substring_dedup.BEGINS, substring_dedup.ENDS
+    links = [(1, 2, 0, 3, -5 - begins), (1, 2, 8, 11, -5), (1, 2, 40, 43, -5 - ends), (1, 2, 90, 93, -5 - begins), (1, 2, 93, 3, -5 - ends), (1, 2, 120, 123, -5 - ends), (1, 3, 0, 3, 7), (2, 3, 4, 7, -5 - ends)]
+    got = substring_dedup.whole_runs(*(np.array(c, np.int64) for c in zip(*links)))
+    # an end without its beginning stays a seed
+    assert [*zip(*(c.tolist() for c in got))] == [(1, 2, 0, 3, -45), (1, 2, 8, 11, -5), (1, 2, 90, 93, -35), (1, 2, 93, 3, -5), (1, 3, 0, 3, 7), (2, 3, 4, 7, -5)]
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        at = np.cumsum(rng.integers(1, 7, 60))
+        key, doc = rng.integers(1, 1 << 60, 60).astype(np.uint64), np.repeat([0, 1], 30)
+        (near, on), (before, back) = (substring_dedup.along(key, doc, at, way) for way in (1, -1))
+        for i in range(60):
+            j = i
+            while j < 59 and doc[j + 1] == doc[i] and at[j + 1] - at[j] <= 5 and at[j] - at[i] < substring_dedup.NEAREST:
+                j += 1
+            assert (on[i] != 0) == (at[j] - at[i] >= substring_dedup.NEAREST) and (near[i] != 0) == (j > i)
+            if j > i:
+                assert before[i + 1] != 0
