@@ -409,6 +409,49 @@ def test_runs_of_links_are_told_by_their_ends(spark, monkeypatch):
     assert 0 < few < counts["pairs"] / 2, (few, counts["pairs"])
 
 
+def test_links_are_made_in_rounds(spark, monkeypatch):
+    """No more links lie in files at once than a round may take, and all rounds together find what one does."""
+    rng = random.Random(23)
+    passage = prose(rng, 60)
+    docs = [(i, prose(rng, 30) + [w if rng.random() > 0.06 else f"edit{i}" for w in passage] + prose(rng, 30)) for i in range(80)]
+    docs += [(100 + i, prose(rng, 10) + ["so"] * rng.randrange(30, 70) + prose(rng, 10)) for i in range(30)]
+    plain, made = substring_dedup.written, []
+
+    def noted(df, tag):
+        out = plain(df, tag)
+        if tag == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", noted)
+    got, all_ = spans(spark, docs), list(made)
+    assert len(all_) == 1 and got.keys() >= set(range(80))
+    made.clear()
+    monkeypatch.setattr(substring_dedup, "LEAST_ROUND", all_[0] // 2)
+    monkeypatch.setattr(substring_dedup, "LINK_BYTES", 1 << 40)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 16)
+    monkeypatch.setattr(substring_dedup, "LOT", 64)
+    assert spans(spark, docs) == got
+    assert len(made) > 2 and sum(made) == all_[0] and max(made) < 0.8 * all_[0], (all_, made)
+
+
+def test_one_chain_at_once():
+    """Pairs whose runs make one chain are known without chaining them."""
+    rng = random.Random(24)
+    for _ in range(2000):
+        runs, a, b = [], 0, 0
+        for _ in range(rng.randrange(1, 6)):
+            n = rng.randrange(5, 40)
+            runs.append((a, b, n))
+            a, b = a + n + rng.choice([0, 1, 3, 10, 30, 48, 50]), b + n + rng.choice([0, 1, 3, 10, 30, 48, 50]) - rng.choice([0, 0, 0, 0, n])
+        runs.sort()
+        p, q, n = (np.array(c) for c in zip(*runs))
+        if substring_dedup._one_chain(np.array([0]), np.array([len(runs)]), p, q, n)[0]:
+            assert substring_dedup.chains(runs) == [runs]
+        elif len(runs) == 1:
+            raise AssertionError(runs)
+
+
 def test_whole_runs():
     begins, ends = substring_dedup.BEGINS, substring_dedup.ENDS
     links = [(1, 2, 0, 3, -5 - begins), (1, 2, 8, 11, -5), (1, 2, 40, 43, -5 - ends), (1, 2, 90, 93, -5 - begins), (1, 2, 93, 3, -5 - ends), (1, 2, 120, 123, -5 - ends), (1, 3, 0, 3, 7), (2, 3, 4, 7, -5 - ends)]
